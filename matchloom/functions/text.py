@@ -17,6 +17,11 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -41,10 +46,23 @@ def tokens(text: Column) -> Column:
     return F.transform(found, F.lower)
 
 
+def _folded(text: Column) -> Column:
+    """Lower case, with the four letters that only fold to ASCII letters folded too."""
+    return F.lower(F.translate(blank_if_null(text), "ſKıİ", "skii"))
+
+
+def _mentions(low: Column, words: list[str]) -> Column:
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
+
+
 def skills_in(text: Column, skills: list[str] = V.SKILLS) -> Column:
     """Vocabulary entries found anywhere in the text, inside words too."""
-    low = F.lower(blank_if_null(text))
-    return F.filter(_strings(skills), lambda s: F.contains(low, s))
+    return _let(F.lower(blank_if_null(text)), lambda low: F.array_compact(F.array(*[
+        F.when(F.contains(low, F.lit(s)), F.lit(s)) for s in skills
+    ])))
 
 
 def skills_or_text(listed: Column, text: Column) -> Column:
@@ -54,53 +72,64 @@ def skills_or_text(listed: Column, text: Column) -> Column:
 
 
 def years_of_experience(text: Column) -> Column:
-    """The first phrase, in order of how specific it is, that gives 1 to 59 years."""
-    text = blank_if_null(text)
-    readings = []
-    for pattern in V.YOE_PATTERNS:
-        number = F.regexp_extract(text, _FOLD + pattern, 1).try_cast("int")
-        years = F.when(number >= 1900, F.lit(settings.reference_year) - number).otherwise(number)
-        readings.append(F.when((years > 0) & (years < 60), years.cast("double")))
-    return F.coalesce(*readings)
+    """The first phrase, in order of how specific it is, that gives 1 to 59 years.
+
+    Texts without what all phrases share are not searched phrase by phrase.
+    """
+    body = blank_if_null(text)
+    found = F.array(*[F.regexp_extract(body, _FOLD + p, 1) for p in V.YOE_PATTERNS])
+    numbers = F.transform(found, lambda s: s.try_cast("int"))
+    years = F.transform(numbers, lambda n: F.when(n >= 1900, settings.reference_year - n).otherwise(n))
+    first = F.get(F.filter(years, lambda y: (y > 0) & (y < 60)), F.lit(0)).cast("double")
+    return F.when(F.rlike(body, F.lit(_FOLD + V.YOE_SHARED)), first)
 
 
 def seniority(text: Column) -> Column:
-    text = blank_if_null(text)
-    low = F.lower(text)
-    level = None
-    for code, patterns in V.SENIORITY_PATTERNS:
-        hit = text.rlike(_FOLD + "|".join(f"(?:{p})" for p in patterns))
-        level = F.when(hit, code) if level is None else level.when(hit, code)
-    named = F.exists(_strings(V.MID_WORDS), lambda w: F.contains(low, w))
-    return level.when(named, V.MID).otherwise(V.UNKNOWN)
+    """The highest level whose titles occur; a level's regex runs only where its words do."""
+    body = blank_if_null(text)
+
+    def choose(low: Column) -> Column:
+        level = None
+        for code, patterns in V.SENIORITY_PATTERNS:
+            pattern = F.lit(_FOLD + "|".join(f"(?:{p})" for p in patterns))
+            hit = _mentions(low, V.SENIORITY_WORDS[code]) & F.rlike(body, pattern)
+            level = F.when(hit, code) if level is None else level.when(hit, code)
+        return level.when(_mentions(low, V.MID_WORDS), V.MID).otherwise(V.UNKNOWN)
+
+    return _let(_folded(body), choose)
 
 
 def coarse_seniority(text: Column) -> Column:
     """A posting's level by plain substrings; anything else is mid-level."""
-    low = F.lower(blank_if_null(text))
-    level = None
-    for code, words in V.COARSE_SENIORITY_WORDS:
-        hit = F.exists(_strings(words), lambda w: F.contains(low, w))
-        level = F.when(hit, code) if level is None else level.when(hit, code)
-    return level.otherwise(V.MID)
+    def choose(low: Column) -> Column:
+        level = None
+        for code, words in V.COARSE_SENIORITY_WORDS:
+            hit = _mentions(low, words)
+            level = F.when(hit, code) if level is None else level.when(hit, code)
+        return level.otherwise(V.MID)
+
+    return _let(F.lower(blank_if_null(text)), choose)
 
 
 def domain(text: Column) -> Column:
     """The domain with most of its words present; ties go to the earlier domain."""
-    low = F.lower(blank_if_null(text))
-    counts = []
-    for position, (name, words) in enumerate(V.DOMAIN_WORDS.items()):
-        hits = F.size(F.filter(_strings(words), lambda w: F.contains(low, w)))
-        counts.append(F.struct(hits.alias("hits"), F.lit(-position).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*counts))
-    return F.when(best["hits"] > 0, best["name"]).otherwise(V.GENERAL_DOMAIN)
+    def hits(low: Column) -> Column:
+        counts = []
+        for place, (name, words) in enumerate(V.DOMAIN_WORDS.items()):
+            n = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+            counts.append(F.struct(n.alias("hits"), F.lit(-place).alias("order"), F.lit(name).alias("name")))
+        return F.array_max(F.array(*counts))
+
+    best = _let(F.lower(blank_if_null(text)), hits)
+    return _let(best, lambda b: F.when(b["hits"] > 0, b["name"]).otherwise(V.GENERAL_DOMAIN))
 
 
 def company_tier(text: Column) -> Column:
     """1 where a tier-one employer is named as an employer, not just mentioned."""
     names = "(?:" + "|".join(V.TIER_ONE_EMPLOYERS) + ")"
     pattern = "|".join(f"(?:{p.format(c=names)})" for p in V.EMPLOYER_CONTEXTS)
-    return blank_if_null(text).rlike(_FOLD + pattern).cast("int")
+    named = _let(_folded(text), lambda low: _mentions(low, V.TIER_ONE_EMPLOYERS))
+    return (named & F.rlike(blank_if_null(text), F.lit(_FOLD + pattern))).cast("int")
 
 
 def tenure_signal(years: Column) -> Column:
@@ -118,17 +147,20 @@ def gender_proxy(text: Column) -> Column:
     opening = F.substring(blank_if_null(text), 1, V.NAME_WINDOW)
     names = F.transform(F.regexp_extract_all(opening, F.lit(_EXACT + V.FIRST_NAME_PATTERN), F.lit(1)), F.lower)
     known = F.filter(names, lambda n: n.isin(V.MALE_NAMES + V.FEMALE_NAMES))
-    first = F.get(known, F.lit(0))
-    return F.when(first.isin(V.MALE_NAMES), "m").when(first.isNotNull(), "f").otherwise("unknown")
+    return _let(F.get(known, F.lit(0)), lambda first: (
+        F.when(first.isin(V.MALE_NAMES), "m").when(first.isNotNull(), "f").otherwise("unknown")
+    ))
 
 
 def country(text: Column, needles: list[tuple[str, str]]) -> Column:
-    low = F.lower(blank_if_null(text))
-    code = None
-    for needle, value in needles:
-        hit = F.contains(low, F.lit(needle))
-        code = F.when(hit, value) if code is None else code.when(hit, value)
-    return code.otherwise(V.OTHER_COUNTRY)
+    def choose(low: Column) -> Column:
+        code = None
+        for needle, value in needles:
+            hit = F.contains(low, F.lit(needle))
+            code = F.when(hit, value) if code is None else code.when(hit, value)
+        return code.otherwise(V.OTHER_COUNTRY)
+
+    return _let(F.lower(blank_if_null(text)), choose)
 
 
 def preview(text: Column, chars: int = 140) -> Column:
