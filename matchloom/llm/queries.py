@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back, text_part
 from .fingerprints import fingerprint_documents
+from .jaccard_join import near_duplicates
 from .line_dedup import LINE_SQL, line_report
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -14,6 +15,7 @@ from .pii import find_personal_data
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .store import table
+from .suffix_dedup import repeat_report
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +24,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"), min_sites=10, min_words=3)
 
@@ -30,6 +36,10 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_model, op5_personal_data, op6_fingerprints, op7_chat, op8_quality_rules, op9_mixing, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_line_dedup, op3_quality_model, op4_jaccard_join, op5_personal_data,
+        op6_fingerprints, op7_chat, op8_quality_rules, op9_mixing, op10_packing,
+    )
+}
 
 ORACLES = {
     "op2_line_dedup": LINE_SQL,
