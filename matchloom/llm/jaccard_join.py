@@ -31,11 +31,28 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def prefix(tokens: np.ndarray, order: int, size: int, frequent: np.ndarray) -> np.ndarray:
-    """The first tokens by (frequent, hash)."""
+class Frequent:
+    """A sorted array of tokens with a bit map before it, as most tokens asked for are not in it."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.mask = tokens, np.uint64((1 << 22) - 1)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[tokens & self.mask] = True
+
+    def holds(self, tokens: np.ndarray) -> np.ndarray:
+        found = self.seen[tokens & self.mask]
+        maybe = np.flatnonzero(found)
+        if len(maybe):
+            place = np.minimum(np.searchsorted(self.tokens, tokens[maybe]), len(self.tokens) - 1)
+            found[maybe] = self.tokens[place] == tokens[maybe]
+        return found
+
+
+def prefix(tokens: np.ndarray, order: int, size: int, late: np.ndarray | None = None) -> np.ndarray:
+    """The first tokens by (late, hash)."""
     rank = mix(tokens, order) >> np.uint64(1)
-    if len(frequent):
-        rank = rank | np.where(np.isin(tokens, frequent), TOP, np.uint64(0))
+    if late is not None and late.any():
+        rank = rank | np.where(late, TOP, np.uint64(0))
     size = min(size, len(tokens))
     return tokens[np.argpartition(rank, size - 1)[:size]] if size < len(tokens) else tokens
 
@@ -47,13 +64,12 @@ def frequent_tokens(docs: DataFrame, words: int, num: int, den: int, crowd: int,
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             found = []
             for text in batch["text"]:
                 tokens = shingle_hashes(text if isinstance(text, str) else None, words)
                 if len(tokens):
-                    found += [prefix(tokens, o, 2 * prefix_length(len(tokens), num, den), none) for o in ORDERS]
+                    found += [prefix(tokens, o, 2 * prefix_length(len(tokens), num, den)) for o in ORDERS]
             if found:
                 token, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"token": token.view(np.int64), "n": n})
@@ -68,13 +84,15 @@ def prefixes(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarr
     """doc_id, n (size of its set), key (hash of the set) and the prefix under each order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Frequent(frequent)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 tokens = shingle_hashes(text if isinstance(text, str) else None, words)
                 n = len(tokens)
                 size = prefix_length(n, num, den)
-                rows.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), *(prefix(tokens, o, size, frequent).tobytes() if n else b"" for o in ORDERS)))
+                late = known.holds(tokens)
+                rows.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), *(prefix(tokens, o, size, late).tobytes() if n else b"" for o in ORDERS)))
             out = pd.DataFrame(rows, columns=["n", "key", *(f"p{o}" for o in ORDERS)])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
