@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bytehash import as_bytes, gram_hashes, mix, span_hashes
 from .store import settle
 
-GRAM = 24
+GRAM = 40
 LOWEST = -(1 << 63)
 #: Windows of a row at most; longer stretches are cut.
 LONGEST = 4096
@@ -63,7 +63,7 @@ def equal_windows(data: np.ndarray, least: int) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[k : k + n]
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         ordered = key[order]
         new[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
