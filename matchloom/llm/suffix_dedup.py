@@ -8,7 +8,7 @@ Where regions of a bucket differ, their bytes are joined and suffix sorted, and
 suffixes come in increasing order: those of length k + 1 are the ones whose intervals, extended backward by a byte, meet a
 border of length k. The expansion stops at `least`; ranks without a border between them are equal windows.
 
-Whole copies of a text are found before by digest: all their windows are in the first copy.
+A whole text is a region too, so that of a copy in the same task one row is shuffled instead of all its stretches.
 """
 
 from __future__ import annotations
@@ -124,17 +124,30 @@ def as_runs(at: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 
 
 def region_rows(texts: DataFrame, least: int) -> DataFrame:
-    """h (bucket), d (hash of the region), at, start, run (negative if it may repeat itself) of every stretch."""
+    """h (bucket), d (hash of the region), at, start, run (negative if it may repeat itself) of every stretch.
+
+    Each text is a region as well, in a bucket of its own digest. A copy of a text that the task has seen in a smaller
+    doc_id is that row alone, so that groups of copies are small before they are shuffled.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
             out = []
             for at, text in zip(batch["at"], batch["text"], strict=True):
                 data = as_bytes(text)
-                if len(data) >= least:
-                    start, size, low, loops = stretches(data, least)
-                    digest = span_hashes(data, start, start + size + least - 1)
-                    out.append((low.view(np.int64), digest.view(np.int64), np.full(len(start), at), start, np.where(loops, -size, size)))
+                n = len(data) - least + 1
+                if n <= 0:
+                    continue
+                name = hashlib.md5(data.tobytes()).digest()
+                whole = np.frombuffer(name, np.int64)
+                out.append((whole[:1], whole[1:], np.array([at]), np.zeros(1, np.int64), np.array([n])))
+                if seen.get(name, at) < at:
+                    continue
+                seen[name] = at
+                start, size, low, loops = stretches(data, least)
+                digest = span_hashes(data, start, start + size + least - 1)
+                out.append((low.view(np.int64), digest.view(np.int64), np.full(len(start), at), start, np.where(loops, -size, size)))
             if out:
                 yield pd.DataFrame(dict(zip(("h", "d", "at", "start", "run"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
@@ -240,13 +253,8 @@ def remove_repeats(docs: DataFrame, least: int = 100, chunk: int = CHUNK) -> Dat
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    digests = settle(keyed.select("at", F.md5(F.col("text").cast("binary")).alias("digest")))
-    copies = digests.groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last")
-    copies = settle(digests.join(copies, "digest").filter("at > first").select("at", "digest").distinct())
+    found = settle(sift(region_rows(keyed, least), least, parts, chunk))
     texts = keyed.repartition(parts, "at")
-    marked = texts.join(copies.select("at", "digest", F.lit(True).alias("copy")).hint("shuffle_hash"), "at", "left")
-    marked = marked.withColumn("copy", F.coalesce(F.col("copy") & (F.md5(F.col("text").cast("binary")) == F.col("digest")), F.lit(False)))
-    found = settle(sift(region_rows(marked.filter("not copy"), least), least, parts, chunk))
     repeats = indexed_repeats(region_texts(texts, found, least), least, parts, chunk)
     gone = found.filter("kind = 0").select("at", "start", "run").union(repeats)
     gone = settle(gone.groupBy("at").agg(F.collect_list(F.struct("start", "run")).alias("gone")))
@@ -254,13 +262,11 @@ def remove_repeats(docs: DataFrame, least: int = 100, chunk: int = CHUNK) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, copy, rows in zip(batch["text"], batch["copy"], batch["gone"], strict=True):
+            for text, rows in zip(batch["text"], batch["gone"], strict=True):
                 data = as_bytes(text)
                 n = len(data)
                 cover = np.zeros(n + 1, np.int64)
-                if copy and n >= least:
-                    cover[0], cover[n] = 1, -1
-                elif rows is not None:
+                if rows is not None:
                     starts = np.array([r["start"] for r in rows])
                     ends = starts + np.array([r["run"] for r in rows]) + least - 1
                     fits = ends <= n
@@ -273,9 +279,8 @@ def remove_repeats(docs: DataFrame, least: int = 100, chunk: int = CHUNK) -> Dat
             done.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield done
 
-    last = texts.join(copies.select("at", "digest", F.lit(True).alias("copy")).hint("shuffle_hash"), "at", "left").join(gone.hint("shuffle_hash"), "at", "left")
-    last = last.withColumn("copy", F.coalesce(F.col("copy") & (F.md5(F.col("text").cast("binary")) == F.col("digest")), F.lit(False)))
-    return last.select("doc_id", "text", "copy", "gone").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    last = texts.join(gone.hint("shuffle_hash"), "at", "left")
+    return last.select("doc_id", "text", "gone").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_report(docs: DataFrame, least: int = 100, chunk: int = CHUNK) -> DataFrame:
