@@ -101,7 +101,8 @@ def prefixes(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarr
 
 
 def bucket_pairs(reps: DataFrame, order: int, num: int, den: int, crowd: int) -> DataFrame:
-    """a, b, crowded: pairs of fitting sizes in small buckets, links to the smallest member in large ones."""
+    """a, b, na, nb, times, crowded: pairs of fitting sizes with the number of small buckets they share; of large buckets
+    each member b with the smallest one, a (itself for that one), and the number of such buckets."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,6 +110,10 @@ def bucket_pairs(reps: DataFrame, order: int, num: int, den: int, crowd: int) ->
             times = [len(x) for x in own]
             yield pd.DataFrame({"token": np.concatenate(own) if own else np.zeros(0, np.int64), "sid": np.repeat(batch["sid"].to_numpy(np.int64), times), "n": np.repeat(batch["n"].to_numpy(np.int64), times)})
 
+    def counted(a: list, b: list, na: list, nb: list, crowded: bool) -> pd.DataFrame:
+        rows = pd.DataFrame({k: np.concatenate(v) for k, v in {"a": a, "b": b, "na": na, "nb": nb}.items()})
+        return rows.groupby(["a", "b", "na", "nb"]).size().rename("times").reset_index().assign(crowded=crowded)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [(b["token"].to_numpy(), b["sid"].to_numpy(), b["n"].to_numpy()) for b in batches]
         if not parts:
@@ -119,48 +124,49 @@ def bucket_pairs(reps: DataFrame, order: int, num: int, den: int, crowd: int) ->
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         sizes = np.diff(np.append(first, len(token)))
         big = np.repeat(sizes > crowd, sizes)
-        out = []
         if big.any():
             least = np.repeat(np.minimum.reduceat(sid, first), sizes)
-            out.append(np.unique(np.stack([least[big], sid[big]], 1), axis=0))
-            out[-1] = np.hstack([out[-1], np.ones((len(out[-1]), 1), np.int64)])
+            yield counted([least[big]], [sid[big]], [n[big]], [n[big]], True)
         alone = np.repeat(sizes == 1, sizes) | big
         token, sid, n = token[~alone], sid[~alone], n[~alone]
-        step = 1
-        while step < len(token):
-            near = (token[step:] == token[:-step]) & (den * n[:-step] >= num * n[step:])
-            if not (token[step:] == token[:-step]).any():
+        found: list[tuple] = []
+        for step in range(1, min(crowd, len(token))):  # rows of a bucket go by size: the k-th next ones of all rows at once
+            same = token[step:] == token[:-step]
+            if not same.any():
                 break
-            a, b = sid[:-step][near], sid[step:][near]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            out.append(np.hstack([pairs, np.zeros((len(pairs), 1), np.int64)]))
-            step += 1
-        rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-        yield pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "crowded": rows[:, 2] == 1})
+            near = same & (den * n[:-step] >= num * n[step:])
+            x, y, nx, ny = sid[:-step][near], sid[step:][near], n[:-step][near], n[step:][near]
+            swap = x > y
+            found.append((np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny)))
+        if found:
+            yield counted(*zip(*found, strict=True), False)
 
     exploded = reps.select("sid", "n", F.col(f"p{order}").alias("p")).mapInPandas(explode, "token long, sid long, n long")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return exploded.repartition(2 * parts, "token").mapInPandas(run, "a long, b long, crowded boolean").filter("a <> b")
+    return exploded.repartition(2 * parts, "token").mapInPandas(run, "a long, b long, na long, nb long, times long, crowded boolean")
 
 
 def candidate_links(reps: DataFrame, num: int, den: int, crowd: int) -> DataFrame:
-    """Links a, b so that each similar pair is connected: the meet of the filters of both orders."""
-    found = [settle(bucket_pairs(reps, o, num, den, crowd).withColumn("seen", F.lit(1 << k))) for k, o in enumerate(ORDERS)]
-    pairs = found[0].union(found[1]).filter("not crowded").groupBy("a", "b").agg(F.bit_or("seen").alias("seen"))
-    pairs = settle(pairs)
-    dense = [settle(f.filter("crowded").select(F.explode(F.array("a", "b")).alias("sid")).distinct()) for f in found]
-    links = [pairs.filter("seen = 3").select("a", "b")]
-    for k in (0, 1):  # under the other order such a pair can only share a crowded token
-        one = pairs.filter(F.col("seen") == 1 << k).select("a", "b")
-        for side in ("a", "b"):
-            one = one.join(dense[1 - k].select(F.col("sid").alias(side)), side, "left_semi")
-        links.append(one.select("a", "b"))
-    both = found[0].filter("crowded").join(dense[1].select(F.col("sid").alias("b")), "b", "left_semi")
-    links.append(both.select("a", "b"))
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out
+    """Links a, b so that each similar pair is connected: the meet of the filters of both orders.
+
+    With c common prefix tokens, two sets share at most c tokens and what either has behind its prefix. Tokens of large
+    buckets are not counted pair by pair, so as many are allowed for as the set with fewer of them has.
+    """
+    found = [settle(bucket_pairs(reps, o, num, den, crowd)) for o in ORDERS]
+    crowded = [settle(f.filter("crowded").groupBy(F.col("b").alias("sid")).agg(F.sum("times").alias("more"))) for f in found]
+    counts = [f.filter("not crowded").select("a", "b", "na", "nb", *(F.when(F.lit(i == k), F.col("times")).otherwise(0).alias(f"c{i}") for i in (0, 1))) for k, f in enumerate(found)]
+    pairs = counts[0].union(counts[1]).groupBy("a", "b", "na", "nb").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter("a <> b")
+    for k in (0, 1):
+        for side in "ab":
+            pairs = pairs.join(crowded[k].select(F.col("sid").alias(side), F.col("more").alias(f"{side}{k}")), side, "left")
+    behind = lambda n: F.ceil(n * num / den) - 1  # noqa: E731  size less the length of the prefix
+    rest = F.greatest(behind(F.col("na")), behind(F.col("nb")))
+    needed = (num + den) * F.lit(1)
+    for k in (0, 1):
+        common = F.col(f"c{k}") + F.least(F.coalesce(f"a{k}", F.lit(0)), F.coalesce(f"b{k}", F.lit(0)))
+        pairs = pairs.filter((common > 0) & ((common + rest) * needed >= num * (F.col("na") + F.col("nb"))))
+    stars = found[0].filter("crowded and a <> b").join(crowded[1].select(F.col("sid").alias("b")), "b", "left_semi")
+    return pairs.select("a", "b").union(stars.select("a", "b"))
 
 
 def forest(sids: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: int = 1 << 22) -> list[tuple[int, int]]:
