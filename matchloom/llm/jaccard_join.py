@@ -24,6 +24,7 @@ from .store import settle
 
 ORDERS = (1, 2)
 BLOCK = 256
+MARKS = 16
 TOP = np.uint64(1 << 63)
 
 
@@ -35,8 +36,8 @@ class Frequent:
     """A sorted array of tokens with a bit map before it, as most tokens asked for are not in it."""
 
     def __init__(self, tokens: np.ndarray):
-        self.tokens, self.mask = tokens, np.uint64((1 << 22) - 1)
-        self.seen = np.zeros(1 << 22, bool)
+        self.tokens, self.mask = tokens, np.uint64((1 << 23) - 1)
+        self.seen = np.zeros(1 << 23, bool)
         self.seen[tokens & self.mask] = True
 
     def holds(self, tokens: np.ndarray) -> np.ndarray:
@@ -54,11 +55,21 @@ def prefix(tokens: np.ndarray, order: int, size: int, late: np.ndarray | None =
     if late is not None and late.any():
         rank = rank | np.where(late, TOP, np.uint64(0))
     size = min(size, len(tokens))
-    return tokens[np.argpartition(rank, size - 1)[:size]] if size < len(tokens) else tokens
+    chosen = np.argpartition(rank, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
+    return tokens[chosen], rank[chosen]
 
 
-def frequent_tokens(docs: DataFrame, words: int, num: int, den: int, crowd: int, parts: int = 100_000) -> np.ndarray:
-    """Tokens that hold over 1/parts of all prefix entries, and more than crowd: at most `parts` tokens whatever the input.
+def marks(size: int) -> np.ndarray:
+    """The places of a prefix whose ranks are kept: MARKS of them, the last one its end."""
+    return (size * np.arange(1, MARKS + 1) + MARKS - 1) // MARKS
+
+
+def rank_marks(rank: np.ndarray) -> bytes:
+    return np.sort(rank)[marks(len(rank)) - 1].tobytes()
+
+
+def frequent_tokens(docs: DataFrame, words: int, num: int, den: int, crowd: int, most: int = 1_000_000) -> np.ndarray:
+    """Tokens of more than `crowd` prefix entries; should there be more than `most` of them, the most frequent. Any choice is right as long as all texts share it.
 
     Counted in prefixes of twice the length, as putting tokens last brings others forward.
     """
@@ -69,19 +80,20 @@ def frequent_tokens(docs: DataFrame, words: int, num: int, den: int, crowd: int,
             for text in batch["text"]:
                 tokens = shingle_hashes(text if isinstance(text, str) else None, words)
                 if len(tokens):
-                    found += [prefix(tokens, o, 2 * prefix_length(len(tokens), num, den)) for o in ORDERS]
+                    found += [prefix(tokens, o, 2 * prefix_length(len(tokens), num, den))[0] for o in ORDERS]
             if found:
                 token, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"token": token.view(np.int64), "n": n})
 
     counts = settle(docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > crowd))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") * parts > total).select("token").toPandas()
+    if counts.count() > most:
+        counts = counts.orderBy(F.col("n").desc(), "token").limit(most)
+    rows = counts.select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64)).view(np.uint64)
 
 
 def prefixes(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of its set), key (hash of the set) and the prefix under each order."""
+    """doc_id, n (size of its set), key (hash of the set), the prefix under each order, and ranks at marks of both."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Frequent(frequent)
@@ -92,12 +104,13 @@ def prefixes(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarr
                 n = len(tokens)
                 size = prefix_length(n, num, den)
                 late = known.holds(tokens)
-                rows.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), *(prefix(tokens, o, size, late).tobytes() if n else b"" for o in ORDERS)))
-            out = pd.DataFrame(rows, columns=["n", "key", *(f"p{o}" for o in ORDERS)])
+                both = [prefix(tokens, o, size, late) for o in ORDERS] if n else []
+                rows.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), *([t.tobytes() for t, _ in both] or [b""] * 2), b"".join(rank_marks(r) for _, r in both)))
+            out = pd.DataFrame(rows, columns=["n", "key", *(f"p{o}" for o in ORDERS), "marks"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key binary, p1 binary, p2 binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key binary, p1 binary, p2 binary, marks binary")
 
 
 def bucket_pairs(reps: DataFrame, order: int, num: int, den: int, crowd: int) -> DataFrame:
@@ -159,12 +172,34 @@ def candidate_links(reps: DataFrame, num: int, den: int, crowd: int) -> DataFram
     for k in (0, 1):
         for side in "ab":
             pairs = pairs.join(crowded[k].select(F.col("sid").alias(side), F.col("more").alias(f"{side}{k}")), side, "left")
+    for k in (0, 1):
+        pairs = pairs.withColumn(f"c{k}", F.col(f"c{k}") + F.least(F.coalesce(f"a{k}", F.lit(0)), F.coalesce(f"b{k}", F.lit(0))))
     behind = lambda n: F.ceil(n * num / den) - 1  # noqa: E731  size less the length of the prefix
     rest = F.greatest(behind(F.col("na")), behind(F.col("nb")))
-    needed = (num + den) * F.lit(1)
     for k in (0, 1):
-        common = F.col(f"c{k}") + F.least(F.coalesce(f"a{k}", F.lit(0)), F.coalesce(f"b{k}", F.lit(0)))
-        pairs = pairs.filter((common > 0) & ((common + rest) * needed >= num * (F.col("na") + F.col("nb"))))
+        pairs = pairs.filter((F.col(f"c{k}") > 0) & ((F.col(f"c{k}") + rest) * (num + den) >= num * (F.col("na") + F.col("nb"))))
+    known = reps.select("sid", "n", "marks")
+    for side in "ab":
+        own = known.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}"))
+        pairs = pairs.join(own, [side, f"n{side}"])
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The bound anew at the lower of both prefix ends: behind it is all that a set has less what its marks show before it."""
+        for batch in batches:
+            na, nb = batch["na"].to_numpy(np.int64), batch["nb"].to_numpy(np.int64)
+            fits = np.ones(len(batch), bool)
+            for k in (0, 1):
+                ranks = [np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1)[:, k * MARKS : (k + 1) * MARKS] for c in ("ma", "mb")]
+                end = np.minimum(ranks[0][:, -1], ranks[1][:, -1])[:, None]
+                behind = []
+                for n, r in zip((na, nb), ranks, strict=True):
+                    size = n - -(-num * n // den) + 1
+                    before = (r <= end).sum(1)
+                    behind.append(n - np.where(before > 0, (size * before + MARKS - 1) // MARKS, 0))
+                fits &= (batch[f"c{k}"].to_numpy(np.int64) + np.minimum(*behind)) * (num + den) >= num * (na + nb)
+            yield batch.loc[fits, ["a", "b"]]
+
+    pairs = pairs.select("a", "b", "na", "nb", "c0", "c1", "ma", "mb").mapInPandas(hold, "a long, b long")
     stars = found[0].filter("crowded and a <> b").join(crowded[1].select(F.col("sid").alias("b")), "b", "left_semi")
     return pairs.select("a", "b").union(stars.select("a", "b"))
 
@@ -211,15 +246,15 @@ def forest(sids: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: i
 def verified_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Exact links within the groups (node, label). A large group is dealt to pairs of blocks of neighbouring size classes."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
-    nodes = groups.join(sizes, "label").join(reps.select(F.col("sid").alias("node"), "key", "n"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    classes = F.array(size_class, size_class - 1)
-    dealt = F.flatten(F.transform(classes, lambda c: F.transform(others, lambda p: F.struct(c.alias("c"), p["i"].alias("i"), p["j"].alias("j")))))
-    whole = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    nodes = nodes.select("label", "node", "key", F.when(blocks == 1, whole).otherwise(dealt).alias("cells"))
+    nodes = groups.join(sizes, "label").join(reps.select(F.col("sid").alias("node"), "key", "n"), "node").withColumn("c", size_class)
+    # similar sets are of one size class or of neighbours; a cell holds two classes of a group, or a small group as a whole
+    large = F.col("members") > BLOCK
+    cells = nodes.select("label", "node", "key", F.explode(F.when(large, F.array("c", F.col("c") - 1)).otherwise(F.array(F.lit(0)))).alias("c"))
+    blocks = cells.groupBy("label", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("c"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    nodes = cells.join(blocks, ["label", "c"]).groupBy("label", "node", "key").agg(F.flatten(F.collect_list(others)).alias("cells"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -255,7 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 90, den: int = 1
     classes = real.groupBy("key").agg(F.min("doc_id").alias("sid"))
     members = settle(real.select("doc_id", "key").join(classes, "key").select("doc_id", "key", "sid"))
     chosen = members.filter("doc_id = sid").select(F.col("doc_id").alias("sid"), "key").distinct()
-    reps = real.select(F.col("doc_id").alias("sid"), "n", "key", "p1", "p2").dropDuplicates(["sid", "key"])
+    reps = real.select(F.col("doc_id").alias("sid"), "n", "key", "p1", "p2", "marks").dropDuplicates(["sid", "key"])
     reps = settle(reps.join(chosen, ["sid", "key"], "left_semi"))
     groups = components(candidate_links(reps, num, den, crowd))
     # rows of one doc_id with several texts hold its classes together
