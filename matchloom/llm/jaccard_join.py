@@ -23,7 +23,7 @@ from .components import components
 from .store import settle
 
 ORDERS = (1, 2)
-BLOCK = 256
+BLOCK = 512
 MARKS = 16
 TOP = np.uint64(1 << 63)
 
