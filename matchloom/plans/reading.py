@@ -151,7 +151,7 @@ def _raw_postings(spark, folder):
     return t.table(spark, folder, "documents").select(
         F.col("doc_id").alias("job_id"), F.col("source").alias("company_name"), F.col("lang").alias("title"),
         F.col("text").alias("description"), F.lit("").alias("location"), level.alias("formatted_experience_level"),
-        F.substring("text", 1, 400).alias("skills_desc"),
+        F.col("text").alias("skills_desc"),
     )
 
 
@@ -213,7 +213,7 @@ def answers_parsed(spark, folder):
     n = F.col("conv_id") + F.col("turn")
     risk = F.element_at(F.array(F.lit("HIGH"), F.lit("low"), F.lit("severe")), (n % 3 + 1).cast("int"))
     advice = F.element_at(F.array(F.lit(" Interview "), F.lit("hire"), F.lit("likely_mismatch"), F.lit("")), (n % 4 + 1).cast("int"))
-    body = F.to_json(F.struct(risk.alias("dropoff_risk"), advice.alias("recommendation"), F.substring("text", 1, 40).alias("overall_fit")))
+    body = F.to_json(F.struct(risk.alias("dropoff_risk"), advice.alias("recommendation"), F.col("text").alias("overall_fit")))
     raw = F.when(F.col("role") == "user", body).when(F.col("role") == "assistant", F.concat(F.lit("Sure:\n"), body, F.lit("\nDone"))).otherwise(F.col("text"))
     rows = turns.select(
         "conv_id", "turn", raw.alias("raw"), F.lit(None).cast("string").alias("failure"), F.lit("moderate").alias("dropoff_risk"),

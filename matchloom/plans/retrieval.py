@@ -96,7 +96,7 @@ def _example_side(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 def label_qrels(spark: SparkSession, folder: str, chosen: DataFrame) -> DataFrame:
     """Grade 2 for the prototype's label and language, 1 for its label."""
     lang = t.table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
-    items = t.vectors(spark, folder).select("vec_id", "label").join(lang, "vec_id")
+    items = t.vectors(spark, folder).select("vec_id", "label").join(lang, "vec_id", "left")
     own = items.join(chosen.select("vec_id"), "vec_id", "left_semi").select(
         F.col("vec_id").alias("query_id"), "label", F.col("lang").alias("query_lang")
     )

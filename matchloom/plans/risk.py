@@ -32,8 +32,8 @@ def _rule_rows(spark, folder) -> DataFrame:
     """Session features with match and posting fields derived from the session id."""
     s = F.col("session_id")
     return _sessions(spark, folder).withColumns({
-        "session_time_on_page_secs": (F.col("session_time_on_page_secs") % 3600).cast("int"),
-        "session_navigation_back_count": (F.col("session_navigation_back_count") % 6).cast("int"),
+        "session_time_on_page_secs": F.col("session_time_on_page_secs").cast("int"),
+        "session_navigation_back_count": F.col("session_navigation_back_count").cast("int"),
         "skill_gap": (s * 7 % 11) / 10.0, "yoe_gap": (s * 5 % 13 - 4).cast("double"),
         "job_posting_age_days": (s * 3 % 31).cast("int"), "job_has_remote_option": s % 2 == 0,
         "job_n_required_fields": (F.lit(5) + s % 10).cast("int"),
