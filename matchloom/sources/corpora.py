@@ -47,10 +47,7 @@ def _as_resumes(df: DataFrame, **columns: Column) -> DataFrame:
 def _as_jobs(df: DataFrame, **columns: Column) -> DataFrame:
     empty = F.array().cast("array<string>")
     base = {c: F.lit(None).cast("string") for c in JOB_COLUMNS}
-    base.update(
-        required_skills=empty, required_certifications=empty,
-        min_years_experience=F.lit(None).cast("double"), **columns,
-    )
+    base |= {"required_skills": empty, "required_certifications": empty, "min_years_experience": F.lit(None).cast("double")} | columns
     return df.select(*[base[c].alias(c) for c in JOB_COLUMNS])
 
 
@@ -110,7 +107,7 @@ def read_category_resumes_csv(spark: SparkSession, path: str, **options) -> Data
     return category_resumes(_csv(spark, path, schemas.CATEGORY_RESUME_CSV), **options)
 
 
-def postings(raw: DataFrame, sample_size: int | None = 5000, seed: int = 42, require_description: bool = True) -> DataFrame:
+def postings(raw: DataFrame, sample_size: int | None = None, seed: int = 42, require_description: bool = True) -> DataFrame:
     """Job postings, optionally a seeded sample without replacement.
 
     The sample takes the lowest seeded digests, a top-k that needs no full sort.
