@@ -27,7 +27,7 @@ def training_stats(df: DataFrame, features: list[str]) -> DataFrame:
 
 def drift_cells(live: DataFrame, key: str, features: list[str], stats: DataFrame, z_threshold: float = 2.0) -> DataFrame:
     """(key, feature, live, z, flagged); a missing live value counts as the mean."""
-    cells = _long(live, features, [key]).join(stats, "feature")
+    cells = _long(live, features, [key]).join(F.broadcast(stats), "feature")  # a row for each feature
     z = (F.coalesce("value", "mean") - F.col("mean")) / F.col("std")
     return cells.select(
         key, "feature", F.coalesce("value", "mean").alias("live"), "mean", "std",

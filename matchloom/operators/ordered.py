@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 def with_range(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
     """Adds ``_range``: which of about equally filled value ranges a row is in.
 
-    The bounds become constants of the plan, so every use of it agrees on them.
+    The bounds become constants of the plan, so every use of it agrees on them. NULL and
+    NaN values have no range and are left out.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numeric = df.withColumn("_value", F.col(value).cast("double"))
+    numeric = df.withColumn("_value", F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))).filter(F.col("_value").isNotNull())
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(numeric.approxQuantile("_value", cuts, 1.0 / (4 * ranges)))) if cuts else []
     splits = [float("-inf"), *bounds, float("inf")]

@@ -127,16 +127,21 @@ def match_features() -> dict[str, Column]:
     }
 
 
-def calibrated_intercept(logits: DataFrame, target: float, probe: int = 2000) -> float:
-    """Bisects the intercept that gives a probe of intercept-free logits the wanted mean rate.
+def calibrated_intercept(logits: DataFrame, target: float, steps: int = 100) -> float:
+    """Bisects the intercept that gives all intercept-free logits the wanted mean rate.
 
-    The probe is a sample by construction and small; its order is that of the key's hash.
+    One aggregate over every row leaves, for each slot of 1/steps, a count and a mean logit; logits beyond
+    +-30 share the outer slots, so the driver holds at most 60 * steps + 1 rows whatever the table holds.
     """
-    rows = logits.orderBy(F.xxhash64("sample_key"), "sample_key").limit(probe).select("logit").toPandas()["logit"]
+    held = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit")))
+    slots = logits.filter(F.col("logit").isNotNull()).select(held.alias("x")).groupBy(F.round(F.col("x") * steps).cast("int").alias("slot")).agg(
+        F.count("*").alias("n"), F.avg("x").alias("x")).orderBy("slot").select("n", "x").toPandas()
+    if not len(slots):
+        return 0.0
     low, high = -10.0, 5.0
     for _ in range(40):
         mid = (low + high) / 2
-        rate = float((1.0 / (1.0 + (-(rows + mid)).map(math.exp))).mean())
+        rate = float((slots["n"] / (1.0 + (-(slots["x"] + mid)).map(math.exp))).sum() / slots["n"].sum())
         low, high = (mid, high) if rate < target else (low, mid)
     return (low + high) / 2
 

@@ -125,13 +125,10 @@ def evaluable_queries(spark, folder):
 
 
 def qrels_from_json(spark, folder):
-    """Judgements written as one JSON object per posting and read back."""
+    """Judgements written as one JSON object each, {posting: {candidate: grade}}, and read back: no line grows with its posting."""
     pairs = labelled_pairs(spark, folder)
-    grades = pairs.groupBy("job_description_text").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("row_no").cast("string"), F.length("label").cast("double")))).alias("g")
-    )
-    raw = grades.select(F.to_json(F.map_from_arrays(F.array("job_description_text"), F.array("g"))).alias("value"))
-    return relevance.parse_qrels(raw)
+    grade = F.create_map(F.col("row_no").cast("string"), F.length("label").cast("double"))
+    return relevance.parse_qrels(pairs.select(F.to_json(F.create_map("job_description_text", grade)).alias("value")))
 
 
 def content_duplicates(spark, folder):

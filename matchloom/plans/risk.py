@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import schemas
@@ -13,6 +13,7 @@ from matchloom.operators import (
 )
 from matchloom.operators.ordered import exact_quantiles
 from matchloom.plans import tables as t
+from matchloom.plans.reading import audit_proxies
 from matchloom.plans.retrieval import bm25_channel, text_channels
 from matchloom.session import settle
 
@@ -149,8 +150,6 @@ def final_ranking(spark, folder):
     rows = fused.withColumns({"sem": sem, "p": p, "trajectory": traj, "bm25": F.coalesce("bm25_score", F.lit(0.0))})
     final = fusion.final_score(F.col("sem"), F.col("p"), F.col("trajectory"), w_exp=0.2)
     rows = rows.withColumn("final", F.round(final, 9)).withColumn("s", fusion.score_shares(F.col("sem"), F.col("p"), F.col("trajectory"), w_exp=0.2))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("final"), F.asc("rank"))
     return rows.select(
         "query_id", "doc_id", F.row_number().over(order).alias("final_rank"), "final", F.round("bm25", 6).alias("bm25"),
@@ -246,8 +245,6 @@ def ranking_skew_mean(spark, folder):
 
 
 def proxy_coverage(spark, folder):
-    from matchloom.plans.reading import audit_proxies
-
     out = fa.proxy_coverage(audit_proxies(spark, folder), {"gender": "unknown", "country": "other"})
     return out.select("proxy", "inferred", "total", F.round("pct", 6).alias("pct"))
 
@@ -286,4 +283,14 @@ def extreme_samples(spark, folder):
     )
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "rule_scorer"}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        session_features, field_states, abandonment_labels, dropoff_risk, intervention_ranking,
+        minimum_interventions, training_statistics, value_quantiles, session_drift, rule_attributions,
+        rule_importance, rule_waterfall, posting_health, posting_drivers, final_ranking, model_comparison,
+        offer_decline, offer_drivers, offer_bounds, offer_summary, offer_prompts, group_audit,
+        group_audit_summary, audit_row_counts, gender_distribution, ranking_skew, ranking_skew_mean,
+        proxy_coverage, classifier_report, confusion_matrix, threshold_sweep, class_balance, extreme_samples,
+    )
+}

@@ -129,12 +129,12 @@ def supplier_jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_rankings(spark: SparkSession, folder: str, pool: int) -> DataFrame:
-    """Each supplier's customers by revenue, cut to a pool. Revenue is summed before ranking."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    """Each supplier's customers by revenue, cut to a pool. Revenue is summed before ranking, as decimals: a sum of doubles depends on its order."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(24,4)").alias("revenue"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     spent = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
         F.col("l_suppkey").alias("query_id"), F.col("o_custkey").alias("doc_id")
-    ).agg(F.round(F.sum("revenue"), 2).alias("score"))
+    ).agg(F.round(F.sum("revenue"), 2).cast("double").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return spent.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
 
