@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +19,9 @@ SESSION_CONF = {
 }
 
 
+_OWN: list[str] = []
+
+
 def get_session(app: str = "matchloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -59,21 +64,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, a test) a folder of our own is set.
+    Only where it is unset in a single-process session (a test) a folder of our own is set, which goes at exit.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="matchloom-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        root = "file://" + _OWN[0]
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
