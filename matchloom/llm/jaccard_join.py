@@ -24,6 +24,7 @@ from .store import settle
 
 ORDERS = (1, 2)
 BLOCK = 512
+SALTS = 256
 MARKS = 16
 TOP = np.uint64(1 << 63)
 
@@ -243,18 +244,26 @@ def forest(sids: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: i
     return out
 
 
+def with_large(rows: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
+    """rows (with a node) and the columns of their large group, null for others. Members are dealt by a salt of their node,
+    so that no task reads a whole group; groups of over BLOCK members are few enough to come once for each salt."""
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
 def verified_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Exact links within the groups (node, label). A large group is dealt to pairs of blocks of neighbouring size classes."""
-    sizes = groups.groupBy("label").agg(F.count("*").alias("members"))
+    sizes = groups.groupBy("label").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int")
-    nodes = groups.join(sizes, "label").join(reps.select(F.col("sid").alias("node"), "key", "n"), "node").withColumn("c", size_class)
+    nodes = with_large(groups, ["label"], sizes).join(reps.select(F.col("sid").alias("node"), "key", "n"), "node").withColumn("c", size_class)
     # similar sets are of one size class or of neighbours; a cell holds two classes of a group, or a small group as a whole
-    large = F.col("members") > BLOCK
+    large = F.col("members").isNotNull()
     cells = nodes.select("label", "node", "key", F.explode(F.when(large, F.array("c", F.col("c") - 1)).otherwise(F.array(F.lit(0)))).alias("c"))
-    blocks = cells.groupBy("label", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("c"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    nodes = cells.join(blocks, ["label", "c"]).groupBy("label", "node", "key").agg(F.flatten(F.collect_list(others)).alias("cells"))
+    blocks = cells.groupBy("label", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    count = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), count).cast("int")
+    others = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.col("c"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    nodes = with_large(cells, ["label", "c"], blocks).groupBy("label", "node", "key").agg(F.flatten(F.collect_list(others)).alias("cells"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
