@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,23 +266,27 @@ def verified_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, words: i
     others = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.struct(F.col("c"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     nodes = with_large(cells, ["label", "c"], blocks).groupBy("label", "node", "key").agg(F.flatten(F.collect_list(others)).alias("cells"))
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor()
         for batch in batches:
-            kept = [shingle_hashes(t, words) for t in batch["text"]]
-            out = batch[["label", "node", "cells", "key"]].copy()
-            out["tokens"] = [s.tobytes() for s in kept]
-            yield out[[xxhash.xxh3_128_digest(b) == k for b, k in zip(out["tokens"], out["key"], strict=True)]]
+            yield pd.DataFrame({"node": batch["node"], "packed": [press.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]})
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").filter("text is not null")
-    cell = "array<struct<c:int,i:int,j:int>>"
-    filled = texts.join(nodes, "node").mapInPandas(sets, f"label long, node long, cells {cell}, key binary, tokens binary")
+    # compressed texts are shuffled, as the hashes of their shingles take several times the room
+    texts = docs.select(F.col("doc_id").alias("node"), "text").filter("text is not null and doc_id is not null").mapInPandas(pack, "node long, packed binary")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["node", "tokens"]).sort_values("node", kind="stable")
-        found = forest(rows["node"].to_numpy(np.int64), [np.frombuffer(b, np.uint64) for b in rows["tokens"]], num, den) if len(rows) > 1 else []
+        rows = rows.drop_duplicates(["node", "key", "packed"]).sort_values("node", kind="stable")
+        unpack = zstandard.ZstdDecompressor()
+        sids, sets = [], []
+        for node, key, packed in zip(rows["node"], rows["key"], rows["packed"], strict=True):
+            tokens = shingle_hashes(unpack.decompress(packed).decode("utf-8", "surrogatepass"), words)
+            if xxhash.xxh3_128_digest(tokens.tobytes()) == key:  # a row of the same doc_id may hold another text
+                sids.append(node)
+                sets.append(tokens)
+        found = forest(np.array(sids, np.int64), sets, num, den) if len(sids) > 1 else []
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    dealt_out = filled.select("label", "node", "tokens", F.explode("cells").alias("cell")).select("label", "node", "tokens", "cell.*")
+    dealt_out = texts.join(nodes, "node").select("label", "node", "key", "packed", F.explode("cells").alias("cell")).select("label", "node", "key", "packed", "cell.*")
     return dealt_out.groupBy("label", "c", "i", "j").applyInPandas(run, "a long, b long")
 
 
