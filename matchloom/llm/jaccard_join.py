@@ -24,7 +24,7 @@ from .components import components
 from .store import settle
 
 ORDERS = (1, 2)
-BLOCK = 512
+BLOCK = 1024
 SALTS = 256
 MARKS = 16
 TOP = np.uint64(1 << 63)
@@ -217,7 +217,7 @@ def forest(sids: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: i
     place = np.cumsum(np.concatenate(([0], tokens[1:] != tokens[:-1])))
     shared = np.bincount(place)[place] > 1
     place, owner = place[shared], owner[shared]
-    meet = np.zeros((m, m), np.int64)
+    meet = np.zeros((m, m), np.int32)
     if len(place):
         _, place = np.unique(place, return_inverse=True)
         strip = max(1, most // m)
@@ -226,8 +226,7 @@ def forest(sids: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: i
             if a < b:
                 grid = np.zeros((m, strip if b - a > strip else int(place[b - 1] - place[a]) + 1), np.float32)
                 grid[owner[a:b], place[a:b] - place[a]] = 1
-                meet += np.rint(grid @ grid.T).astype(np.int64)
-    linked = np.triu(den * meet >= num * (n[:, None] + n[None, :] - meet), 1)
+                meet += np.rint(grid @ grid.T).astype(np.int32)
     root = list(range(m))
 
     def find(i: int) -> int:
@@ -237,11 +236,13 @@ def forest(sids: np.ndarray, sets: list[np.ndarray], num: int, den: int, most: i
         return i
 
     out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            root[b] = a
-            out.append((int(sids[i]), int(sids[j])))
+    for i in range(m):  # a row at a time, as the whole matrix of sums would be several times the size of meet
+        row = meet[i, i + 1 :].astype(np.int64)
+        for j in i + 1 + np.flatnonzero(den * row >= num * (n[i] + n[i + 1 :] - row)):
+            a, b = find(i), find(int(j))
+            if a != b:
+                root[b] = a
+                out.append((int(sids[i]), int(sids[j])))
     return out
 
 
