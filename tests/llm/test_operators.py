@@ -157,6 +157,24 @@ def test_personal_data(spark):
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (2, 2, 1, 1) and got[0].spans == ""
 
 
+@pytest.mark.parametrize("n", [60, 3000])
+def test_planted_loose_personal_data_is_added_at_any_size(spark, n):
+    rng, rows, want, junk = random.Random(n), [], {}, {}
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    for i in range(n):
+        phone = f"({digits(3)}) 555-{digits(4)}"
+        head = " ".join(rng.choices(("thing", "river", "over", "stone"), k=6)) + " "
+        own = [f"+1 {phone}", f"a{digits(2)}@mail.example.com", "1.2.3.4", phone, f"b{digits(2)} (at) mail.example.com", f"{1990 + i % 9}-{1991 + i % 9}-{1992 + i % 9}"][i % 6]
+        rows.append((i, f"{head}{own} over there", None, None, 1, 2, 3, 4))
+        if i % 6 in (3, 4):
+            want[i] = f"{'phone' if i % 6 == 3 else 'email'}:{len(head)}:{len(head) + len(own)}"
+        if i % 6 == 5:
+            junk[i] = ""
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[i] == s for i, s in want.items()) >= 0.95 * len(want)
+    assert all(got[i] == s for i, s in junk.items())
+
+
 def test_classifier_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
