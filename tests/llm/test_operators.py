@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with nulls, ties, empty and repeated rows, and clashing names."""
 
+import base64
 import hashlib
 import random
 import re
@@ -7,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+import zstandard
 from matchloom.llm.chat import format_conversations, read_back, text_part
 from matchloom.llm.fingerprints import fingerprint_documents
 from matchloom.llm.jaccard_join import near_duplicates, one_of_each
@@ -15,7 +17,7 @@ from matchloom.llm.mixing import mix_sources, mixed_documents
 from matchloom.llm.packing import encoder, pack_documents
 from matchloom.llm.pii import addresses, emails, find_personal_data, luhn
 from matchloom.llm.quality_model import quality_scores
-from matchloom.llm.quality_rules import quality_rules
+from matchloom.llm.quality_rules import Bands, compression, quality_rules
 from matchloom.llm.queries import tokenizer_path
 from matchloom.llm.suffix_dedup import brute_force, repeat_report
 from pyspark.sql import functions as F
@@ -145,6 +147,24 @@ def test_quality_rules_counts(docs, texts):
         assert not (got[d].base_failed and got[d].kept)
 
 
+def test_bands_reject_keys_and_repeats_and_keep_prose(spark):
+    rng = random.Random(8)
+    lines = lambda s, n: "\n".join(s[i : i + 76] for i in range(0, len(s), 76))[:n]
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1"), "doc_id").select("text").collect()]
+    bad, good = [], [t for t in prose if len(WORD.findall(t or "")) >= 20]
+    for n in (1500, 3040, 8106, 20000):
+        bad.append(lines(base64.b64encode(rng.randbytes(n)).decode(), n))
+        bad.append(" ".join(base64.b32encode(rng.randbytes(10)).decode() for _ in range(n // 17)))
+    bands, press = Bands(), zstandard.ZstdCompressor(level=3)
+    for n in (1024, 3000, 8000, 20000):
+        bad.append(("".join(rng.choices("abcdefgh ", k=160)) * 200)[:n])
+    long = [t for t in good if len(t.encode()) > 8192]
+    bad += [t[:4096] + lines(base64.b64encode(rng.randbytes(4096)).decode(), 4096) for t in long[:5]]  # a half
+    bad += [t[:4096] + lines(base64.b64encode(rng.randbytes(1600)).decode(), 1600) for t in long[:5]]  # a tail
+    assert long and not any(compression(t.encode(), bands, press)[3] for t in bad)
+    assert sum(compression(t.encode(), bands, press)[3] for t in good) >= 0.995 * len(good)
+
+
 def test_personal_data(spark):
     text = "mail a.b@c.de or x@y@z.org.uk, host 1.2.3.4.5.6.7.8 and 300.1.1.1, card 4111 1111 1111 1111, +1 (743) 555-3824"
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
