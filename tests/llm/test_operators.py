@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import zstandard
@@ -134,6 +134,29 @@ def test_fingerprints(docs, texts):
     assert got[0].fingerprint == got[40].fingerprint and got[40].near_next == 1.0
 
 
+def test_likeness_is_near_the_exact_generalised_jaccard(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    said, off = [rng.choices(words, k=200)], []
+    for i in range(399):
+        swapped = rng.choice((10, 20, 40, 80))
+        said.append([rng.choice(words) if rng.random() < swapped / 200 else w for w in said[-1]])
+    rows = [(i, " ".join(w), None, None, 1, 2, 3, 4) for i, w in enumerate(said)]
+
+    def exact(a, b):
+        a, b = Counter(WORD.findall(a)), Counter(WORD.findall(b))
+        return sum((a & b).values()) / sum((a | b).values())
+
+    for r in fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).collect():
+        text, follow = rows[r.doc_id][1], rows[(r.doc_id + 1) % len(rows)][1]
+        edited = text[: len(text) - len(text) // 2] + follow[: len(text) // 2]
+        for got, j in ((r.near_edited, exact(text, edited)), (r.near_next, exact(text, follow))):
+            assert (got * 64).is_integer()
+            off.append((got - j, j * (1 - j)))
+    assert len(off) == 800 and abs(sum(d for d, _ in off) / len(off)) < 0.01
+    assert sum(d * d for d, _ in off) < 1.25 * sum(v for _, v in off) / 64
+
+
 def test_quality_rules_counts(docs, texts):
     got = {r.doc_id: r for r in quality_rules(docs).collect()}
     for d, t in texts:
