@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -77,14 +78,41 @@ def fit_linear(prepared: PipelineModel, train: DataFrame, label: str, c: float =
 
 def fit_boosted(
     prepared: PipelineModel, train: DataFrame, val: DataFrame, label: str,
-    trees: int = 400, depth: int = 6, step: float = 0.05, seed: int = 42, **options,
+    trees: int = 400, depth: int = 6, step: float = 0.05, seed: int = 42, patience: int = 30, **options,
 ) -> Trained:
-    """Boosted trees with class weights; rounds end where the validation rows gain no more."""
-    weighted = class_weights(train, label).withColumn("held", F.lit(False))
-    both = weighted.unionByName(val.withColumns({"weight": F.lit(1.0), "held": F.lit(True)}))
-    rows = prepared.transform(both).select("features", F.col(label).cast("double").alias("label"), "weight", "held")
-    booster = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, weightCol="weight", validationIndicatorCol="held", seed=seed, **options)
-    return Trained(prepared, booster.fit(rows))
+    """Boosted trees with class weights; kept are the rounds up to the least loss on the validation rows.
+
+    All rounds are fitted, as the library's own stopping ends at the first small gain, which a small step gives at once.
+    The loss counts as least where `patience` further rounds bring no less.
+    """
+    rows = prepared.transform(class_weights(train, label)).select("features", F.col(label).cast("double").alias("label"), "weight")
+    held = prepared.transform(val.withColumn("weight", F.lit(1.0))).select("features", F.col(label).cast("double").alias("label"), "weight")
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed, **options).fit(rows)
+    losses = model.evaluateEachIteration(held) if held.take(1) else []
+    return Trained(prepared, first_rounds(model, best_rounds(losses, patience) if losses else trees))
+
+
+def best_rounds(losses: list[float], patience: int) -> int:
+    """The number of rounds with the least loss before `patience` rounds in a row bring no less."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    if rounds >= model.getNumTrees:
+        return model
+    own, context = model._java_obj, SparkContext._active_spark_context
+    kind = context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = context._gateway.new_array(kind, rounds), context._gateway.new_array(context._jvm.double, rounds)
+    for k in range(rounds):
+        trees[k], weights[k] = own.trees()[k], own.treeWeights()[k]
+    short = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), trees, weights, own.numFeatures(), 2)
+    return GBTClassificationModel(short)
 
 
 def calibrated(trained: Trained, val: DataFrame, label: str) -> Trained:

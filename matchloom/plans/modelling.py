@@ -12,8 +12,9 @@ from matchloom.plans import tables as t
 from matchloom.plans.retrieval import bm25_channel, dense_channel
 from matchloom.session import settle
 
-#: Fewer rounds than the operator's default, for run time; the operator takes any number.
-TREES, DEPTH, STEP = 10, 4, 0.3
+#: Rounds at most, depth and step; the validation rows end the rounds.
+OFFER_BOOST = {"trees": 300, "depth": 5, "step": 0.06}
+DROPOFF_BOOST = {"trees": 400, "depth": 6, "step": 0.05}
 OFFER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 OFFER_NUMERIC = [c for c in schemas.OFFER_FEATURES if c not in schemas.OFFER_CATEGORICAL]
 DROPOFF_NUMERIC = [c for c in schemas.DROPOFF_FEATURES if c not in schemas.DROPOFF_CATEGORICAL]
@@ -45,12 +46,12 @@ def labelled_pairs(spark, folder) -> DataFrame:
     return settle(with_split(labelled, d.uniform()), "dropoff")
 
 
-def fit_all(rows: DataFrame, numeric: list[str], categorical: list[str], label: str) -> dict[str, mo.Trained]:
+def fit_all(rows: DataFrame, numeric: list[str], categorical: list[str], label: str, boost: dict) -> dict[str, mo.Trained]:
     """The linear and the boosted model of the train rows, and the boosted one calibrated on the val rows."""
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
     prepared = mo.preprocessor(numeric, categorical).fit(train)
-    boosted = mo.fit_boosted(prepared, train, val, label, TREES, DEPTH, STEP)
-    return {"linear": mo.fit_linear(prepared, train, label, iterations=100), "boosted": boosted, "calibrated": mo.calibrated(boosted, val, label)}
+    boosted = mo.fit_boosted(prepared, train, val, label, **boost)
+    return {"linear": mo.fit_linear(prepared, train, label), "boosted": boosted, "calibrated": mo.calibrated(boosted, val, label)}
 
 
 def model_quality(rows: DataFrame, found: dict[str, mo.Trained], label: str) -> DataFrame:
@@ -65,12 +66,12 @@ def model_quality(rows: DataFrame, found: dict[str, mo.Trained], label: str) ->
 
 def offer_model_quality(spark, folder):
     rows = labelled_offers(spark, folder)
-    return model_quality(rows, fit_all(rows, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL, schemas.OFFER_LABEL), schemas.OFFER_LABEL)
+    return model_quality(rows, fit_all(rows, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL, schemas.OFFER_LABEL, OFFER_BOOST), schemas.OFFER_LABEL)
 
 
 def _explained_offers(spark, folder) -> DataFrame:
     rows = labelled_offers(spark, folder)
-    trained = fit_all(rows, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL, schemas.OFFER_LABEL)["calibrated"]
+    trained = fit_all(rows, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL, schemas.OFFER_LABEL, OFFER_BOOST)["calibrated"]
     scored = settle(trained.score(rows), "scored")
     sources = mo.slot_sources(trained.prepared, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL)
     return ta.tree_attributions(scored, [*OFFER_KEYS, "p_raw", "p"], trained.classifier, sources)
@@ -96,7 +97,7 @@ def dropoff_features(spark, folder):
 
 def dropoff_model_quality(spark, folder):
     rows = labelled_pairs(spark, folder)
-    return model_quality(rows, fit_all(rows, DROPOFF_NUMERIC, schemas.DROPOFF_CATEGORICAL, schemas.DROPOFF_LABEL), schemas.DROPOFF_LABEL)
+    return model_quality(rows, fit_all(rows, DROPOFF_NUMERIC, schemas.DROPOFF_CATEGORICAL, schemas.DROPOFF_LABEL, DROPOFF_BOOST), schemas.DROPOFF_LABEL)
 
 
 QUERIES = {

@@ -62,3 +62,16 @@ def test_attributions_of_offers_meet_the_log_odds(spark):
     rows = modelling.offer_model_drivers(spark, SMALL).agg(F.max("gap").alias("gap"), F.count("*").alias("n")).first()
     assert rows["gap"] <= 1e-6 and rows["n"] == spark.read.parquet(f"{SMALL}/lineitem.parquet").join(
         spark.read.parquet(f"{SMALL}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).count()
+
+
+def test_rounds_end_by_validation_rows_and_queries_boost_as_the_survey_says(trained):
+    rows, val, model = trained
+    assert (modelling.OFFER_BOOST, modelling.DROPOFF_BOOST) == ({"trees": 300, "depth": 5, "step": 0.06}, {"trees": 400, "depth": 6, "step": 0.05})
+    assert mo.best_rounds([5.0, 4.0, 4.5, 3.0, 3.1, 3.2, 1.0], 2) == 4 and mo.best_rounds([2.0, 1.0], 30) == 2
+    short = mo.first_rounds(model.classifier, 1)
+    assert len(short.trees) == 1 and list(short.treeWeights) == [model.classifier.treeWeights[0]]
+    scored = mo.Trained(model.prepared, short).score(val)
+    assert scored.filter("p is null or p_raw <= 0 or p_raw >= 1").count() == 0
+    # a small step gains little a round, and goes on all the same
+    slow = mo.fit_boosted(model.prepared, rows.filter("id % 4 <> 0"), val, "label", trees=12, depth=2, step=0.01)
+    assert len(slow.classifier.trees) > 8
