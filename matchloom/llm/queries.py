@@ -9,13 +9,16 @@ from .chat import format_conversations, read_back, text_part
 from .fingerprints import fingerprint_documents
 from .jaccard_join import near_duplicates
 from .line_dedup import LINE_SQL, line_report
+from .manifest import MANIFEST_SQL, build_manifest, folded, row_hash
 from .mixing import mix_sources
 from .packing import pack_documents
+from .periodic_runs import periodic_runs
 from .pii import find_personal_data
 from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .store import table
 from .suffix_dedup import repeat_report
+from .token_counts import count_tokens
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,16 +71,55 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and the words of its text, of which the contract makes those of every tenth document periodic from word a on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"), h.alias("h")).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    rows = rows.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    periodic = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.col("words")[F.col("a") + (i - F.col("a")) % F.col("p")]))
+    return rows.select("doc_id", F.array_join(F.when(F.col("h") % 10 == 0, periodic).otherwise(F.col("words")), " ").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")), least=6, exponent=4)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("most"), digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    length, period = -F.col("most.less"), F.col("most.period")
+    return rows.select("doc_id", "n_runs", F.col("most.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = row_hash([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    asked = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered)
+    found = build_manifest(table(spark, sf_dir, "documents"), "lang", "doc_id", columns, arity=2, carry={"asked": asked})
+    hexed = lambda c: F.lower(F.hex(c))
+    proof = F.sha2(F.array_join(F.transform("path", lambda s: hexed(s["siblings"])), "").cast("binary"), 256)
+    rows = found.select("*", folded(F.coalesce("asked", "leaf"), F.col("path")).alias("back"))
+    return rows.select("doc_id", *[hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], proof.alias("proof_sha256"), hexed(F.col("back")).alias("folded_root"), (F.col("back") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_line_dedup, op3_quality_model, op4_jaccard_join, op5_personal_data,
         op6_fingerprints, op7_chat, op8_quality_rules, op9_mixing, op10_packing,
+        op11_token_counts, op12_periodic_runs, op13_manifest,
     )
 }
 
 ORACLES = {
     "op2_line_dedup": LINE_SQL,
+    "op13_manifest": MANIFEST_SQL,
     "op7_chat": r"""
         WITH told AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
