@@ -91,7 +91,7 @@ def frequent_tokens(docs: DataFrame, words: int, num: int, den: int, crowd: int,
     if counts.count() > most:
         counts = counts.orderBy(F.col("n").desc(), "token").limit(most)
     rows = counts.select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64)).view(np.uint64)
+    return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))  # in the order of the hashes as they are compared
 
 
 def prefixes(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
