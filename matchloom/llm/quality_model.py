@@ -5,8 +5,10 @@ its source, language and length. Both start from the same labelled rows. In each
 document, and the most confident of each class train the other view. Both are calibrated on labelled rows that trained
 neither, joined by a logistic model on their log-odds, and score all documents.
 
-Features are taken once from whole texts and written, some hundred numbers a document; rounds read only those. The driver
-holds the labelled sample and a fixed number of pseudo-labels, both bounded by parameters.
+Features are taken once from whole texts and written, some hundred numbers a document; rounds read only those and never
+shuffle them: labels are joined to keys, a round writes keys and log-odds, and only the features of chosen keys are
+fetched, by a broadcast of at most as many keys as the plan allows. Choices are cuts of histograms of hashes and log-odds,
+so the driver gets histograms of bounded size, the labelled sample and the pseudo-labels, bounded by parameters.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ _UPPER, _DIGIT, _PUNCT, _SYMBOL = (np.isin(np.arange(256), list(s)) for s in (b"
 class CoTraining:
     labelled: int = 20_000  # rows of the labelled sample at most, by hash
     rounds: int = 2
-    pseudo: int = 1_000  # pseudo-labels for each view, class and round
+    pseudo: int = 5_000  # pseudo-labels for each view, class and round at most
+    share: float = 0.02  # and no more of the unlabelled rows than this share
     confident: float = 0.95
-    lost: float = 0.002  # share of held-out good documents that the threshold may reject
+    lost: float = 0.01  # share of held-out good documents that the threshold may reject, labels on junk included
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -77,7 +80,10 @@ def meta_columns() -> dict[str, Column]:
 
 
 def view_table(docs: DataFrame) -> DataFrame:
-    """doc_id, row, s, l, n (metadata) and x (the text view as float32 bytes) of every document, written once."""
+    """doc_id, key, s, l, n (metadata) and x (the text view as float32 bytes) of every document, written once.
+
+    The key is a hash of the rest: equal rows share it, and it does not depend on how the input is split.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,7 +93,7 @@ def view_table(docs: DataFrame) -> DataFrame:
             yield out
 
     rows = docs.select("doc_id", "text", *(c.alias(k) for k, c in meta_columns().items())).mapInPandas(run, "doc_id long, s int, l int, n int, x binary")
-    return settle(rows.withColumn("row", F.monotonically_increasing_id()))
+    return settle(rows.withColumn("key", F.xxhash64("doc_id", "s", "l", "n", "x")))
 
 
 class Logistic:
@@ -138,14 +144,44 @@ def settled_labels(labels: DataFrame) -> DataFrame:
     return mean.filter("mean <> 0.5").select("doc_id", (F.col("mean") > 0.5).cast("double").alias("y"))
 
 
+def highest(rows: DataFrame, bins: list[Column], limit: int) -> DataFrame:
+    """The rows of the highest bins, at most `limit` of them: whole bins by the first column and, where the next one is too
+    large, whole ones by the second column within it. The driver gets counts by bin, so bins must be few."""
+    kept = F.lit(False)
+    inside = F.lit(True)
+    for column in bins:
+        counts = sorted(rows.filter(inside).groupBy(column.alias("bin")).agg(F.count("*").alias("n")).collect(), reverse=True)
+        edge = None
+        for row in counts:
+            if row["n"] > limit:
+                edge = row["bin"]
+                break
+            limit -= row["n"]
+        kept = kept | (inside & ((column > F.lit(edge)) if edge is not None else F.lit(True)))
+        if edge is None:
+            break
+        inside = inside & (column == F.lit(edge))
+    return rows.filter(kept)
+
+
+def features_of(table: DataFrame, chosen: DataFrame) -> pd.DataFrame:
+    """The features of the chosen keys (key, y), of which there are no more than the plan allows; equal rows come once."""
+    fetched = table.select("key", "s", "l", "n", "x").join(F.broadcast(chosen), "key").dropDuplicates(["key"])
+    return fetched.toPandas().sort_values("key", ignore_index=True)
+
+
+def _hash_bin(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 52)  # 4096 bins
+
+
 def co_train(table: DataFrame, labels: DataFrame, plan: CoTraining) -> Model:
-    known = table.join(settled_labels(labels), "doc_id")
-    sample = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "row").limit(plan.labelled).toPandas()
-    held = (sample["h"] % 4 == 0).to_numpy()
+    told = settle(settled_labels(labels))
+    known = settle(table.select("doc_id", "key").join(told, "doc_id").select("key", "y").distinct())
+    sample = features_of(table, highest(known, [_hash_bin(1), _hash_bin(2)], plan.labelled))
+    held = (sample["key"] % 4 == 0).to_numpy()
     y = sample["y"].to_numpy()
     if len(sample) < 8 or any(len(set(part)) < 2 for part in (y[held], y[~held])):
         return Model()
-    free = table.join(settled_labels(labels).select("doc_id"), "doc_id", "left_anti")
     views = views_of(sample)
     taught = [[(v[~held], y[~held])] for v in views]
     done: set[int] = set()
@@ -153,44 +189,64 @@ def co_train(table: DataFrame, labels: DataFrame, plan: CoTraining) -> Model:
         models = tuple(Logistic(np.vstack([a for a, _ in own]), np.concatenate([b for _, b in own])) for own in taught)
         if turn == plan.rounds:
             break
-        for who, picked in enumerate(most_confident(free, models, plan)):
-            picked = picked[~picked["row"].isin(done)]
+        for who, picked in enumerate(most_confident(table, told, models, plan)):
+            picked = picked[~picked["key"].isin(done)]
             if len(picked):
-                done |= set(picked["row"])
+                done |= set(picked["key"])
                 taught[1 - who].append((views_of(picked)[1 - who], picked["y"].to_numpy(np.float64)))
     both = np.stack([m.odds(v[held]) for m, v in zip(models, views, strict=True)], 1)
     joint = Logistic(both, y[held], ridge=0.1)
     model = Model(models, joint)
-    p = model.score(sample[held])
-    model.threshold = float(min(0.5, np.quantile(p[y[held] == 1], plan.lost)))
+    model.threshold = threshold(model.score(sample[held]), y[held], plan.lost)
     return model
 
 
-def most_confident(free: DataFrame, models: tuple[Logistic, Logistic], plan: CoTraining) -> list[pd.DataFrame]:
-    """For either view the rows it is surest of, with its labels: at most plan.pseudo of each class, from all unlabelled rows."""
+def threshold(p: np.ndarray, y: np.ndarray, lost: float) -> float:
+    """The cut with the least sum of the shares of good rows lost and of bad rows kept that loses no more than the share
+    `lost` of the good ones: the lowest such cut, moved to the middle of the gap in log-odds between the rows around it, and
+    no more than 0.5. Held-out rows of both classes are at hand."""
+    good, bad = np.sort(p[y == 1]), np.sort(p[y == 0])
+    edges = np.unique(np.concatenate([[0.0], good, np.nextafter(bad, 2)]))
+    missed = np.searchsorted(good, edges) / len(good)
+    error = missed + 1 - np.searchsorted(bad, edges) / len(bad)
+    error[missed > lost] = np.inf
+    cut = edges[np.argmin(error)]
+    log_odds = lambda q: np.log(np.clip(q, 1e-12, 1 - 1e-12) / np.clip(1 - q, 1e-12, 1))
+    above = good[np.searchsorted(good, cut)]  # there is one, as not all good rows are lost
+    return float(min(0.5, 1 / (1 + np.exp(-(log_odds(cut) + log_odds(above)) / 2))))
+
+
+def most_confident(table: DataFrame, told: DataFrame, models: tuple[Logistic, Logistic], plan: CoTraining) -> list[pd.DataFrame]:
+    """For either view the unlabelled rows it is surest of, with its labels: of each class at most plan.pseudo and the share
+    plan.share of all unlabelled rows. Log-odds are compared in steps of 1/100, and within a step by a hash."""
     edge = float(np.log(plan.confident / (1 - plan.confident)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(**{f"o{k}": m.odds(x) for k, (m, x) in enumerate(zip(models, views_of(batch), strict=True))})
+                odds = {f"o{k}": m.odds(x) for k, (m, x) in enumerate(zip(models, views_of(batch), strict=True))}
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], **odds})
 
-    scored = free.select("row", "s", "l", "n", "x").mapInPandas(run, "row long, s int, l int, n int, x binary, o0 double, o1 double")
+    scored = table.select("doc_id", "key", "s", "l", "n", "x").mapInPandas(run, "doc_id long, key long, o0 double, o1 double")
+    free = settle(scored.join(told.select("doc_id"), "doc_id", "left_anti").select("key", "o0", "o1").distinct())
+    limit = min(plan.pseudo, int(plan.share * free.count()))
     out = []
     for k in (0, 1):
         ends = []
         for sign in (1, -1):
             sure = F.col(f"o{k}") * sign
-            ends.append(scored.filter(sure >= edge).orderBy(sure.desc(), "row").limit(plan.pseudo).toPandas().assign(y=float(sign > 0)))
-        out.append(pd.concat(ends, ignore_index=True))
+            rows = highest(free.filter(sure >= edge), [F.floor(sure * 100), _hash_bin(3)], limit)
+            ends.append(rows.select("key", F.lit(float(sign > 0)).alias("y")))
+        out.append(features_of(table, ends[0].union(ends[1])))
     return out
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, plan: CoTraining = CoTraining()) -> DataFrame:
     """Per document: doc_id, score (calibrated probability of good quality) and kept.
 
-    A null text is an empty one; null source or lang is a value of its own; repeated rows get equal scores; without enough
-    labels of both kinds everything is kept with score 1; an empty table gives no rows; other columns are not read.
+    A null text is an empty one; null source or lang is a value of its own; repeated rows get equal scores and train as
+    one; without enough labels of both kinds everything is kept with score 1; an empty table gives no rows; a null doc_id
+    has no label and stays null; other columns are not read; the features of a long text are those of the whole of it.
     """
     table = view_table(docs)
     model = co_train(table, labels, plan)
@@ -204,7 +260,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, plan: CoTraining = CoTrai
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, plan: CoTraining = CoTraining()) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
+    """The documents that the classifier keeps, with all their columns, whatever they are called.
+
+    Nulls, repeated rows, missing labels and long texts are as in quality_scores; an empty table stays empty.
+    """
     model = co_train(view_table(docs), labels, plan)
 
     @F.pandas_udf("boolean")
@@ -212,6 +271,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, plan: CoTraining = CoTrai
         x = [text_view(t if isinstance(t, str) else None).tobytes() for t in text]
         return pd.Series(model.score(pd.DataFrame({"s": s, "l": l, "n": n, "x": x})) >= model.threshold)
 
-    spare = docs.select("*", *(c.alias(f"__{k}") for k, c in meta_columns().items()))
-    return spare.filter(kept("text", "__s", "__l", "__n")).select(*docs.columns)
-
+    return docs.filter(kept("text", *meta_columns().values()))
