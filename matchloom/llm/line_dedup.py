@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import free_prefix, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,17 +50,21 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 3) -> Dat
     """docs with boilerplate lines gone, and __lines, __removed: how many each had and lost.
 
     Lines of fewer than min_words words are left alone; a null text has no lines and stays null; an empty text has one
-    empty line; null sources are one site; rows of one doc_id and text share a fate; an empty table stays empty.
+    empty line; null sources are one site; rows of one doc_id and text share a fate; an empty table stays empty. Other
+    columns stay whatever their names are, but for columns of these two names, which are replaced. Long texts are split
+    where they are; only their lines' hashes are shuffled.
     """
-    gone = removed_places(docs, min_sites, min_words).select(F.col("at").alias("__at"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__at")) & (F.col("__own") == F.col("__digest")), "left")
+    own = free_prefix(docs.drop("__lines", "__removed"))
+    at, digest, gone = f"{own}at", f"{own}digest", F.col(f"{own}gone")
+    found = removed_places(docs.select("doc_id", "text", "source"), min_sites, min_words).select(F.col("at").alias(at), F.col("digest").alias(digest), F.col("gone").alias(f"{own}gone"))
+    keyed = docs.withColumn(f"{own}own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(f"{own}own") == F.col(digest)), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
+    text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     counted = joined.withColumn("__lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
-    counted = counted.withColumn("__removed", F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"))
-    return counted.withColumn("text", text).select(*docs.columns, "__lines", "__removed")
+    counted = counted.withColumn("__removed", F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long"))
+    return counted.withColumn("text", text).select(*[c for c in docs.columns if c not in ("__lines", "__removed")], "__lines", "__removed")
 
 
 def line_report(docs: DataFrame, min_sites: int = 10, min_words: int = 3) -> DataFrame:
@@ -70,10 +74,16 @@ def line_report(docs: DataFrame, min_sites: int = 10, min_words: int = 3) -> Dat
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 3) -> DataFrame:
-    """The documents with boilerplate gone; one that loses all its words to it goes, as every line stays elsewhere."""
-    found = dedup_lines(docs, min_sites, min_words)
+    """The documents with boilerplate gone; one that loses all its words to it goes, as every line stays elsewhere.
+
+    Nulls, empty tables, repeated rows, long texts and other columns are as in dedup_lines; all columns come back.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row"))
+    found = dedup_lines(whole, min_sites, min_words)
     left = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) > 0
-    return found.filter((F.col("__removed") == 0) | left).select(*docs.columns)
+    columns = [F.col("text").alias(c) if c.lower() == "text" else F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)]
+    return found.filter((F.col("__removed") == 0) | left).select(*columns)
 
 
 LINE_SQL = r"""

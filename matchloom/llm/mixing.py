@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import free_prefix, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVELS = 10, 5
@@ -119,10 +119,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """The documents of the mix with all their columns, a row for each time one is taken."""
+    """The documents of the mix with all their columns, a row for each time one is taken.
+
+    A text without words adds nothing to a source's words and comes as often as its hash says; other cases are as in
+    mix_sources; columns may have any name; long texts are counted where they are.
+    """
+    own = free_prefix(docs)
     sizes = settle(sized(docs, seed))
-    plan = plan_mix(sizes, weights, max_repeats).select(F.col("source").alias("__at"), F.col("passes").alias("__passes"), F.col("cut").alias("__cut"))
-    found = docs.join(plan, F.col("source").eqNullSafe(F.col("__at")))
-    times = F.col("__passes") + (document_hash(F.col("doc_id"), seed) < F.col("__cut")).cast("long")
-    found = found.withColumn("__times", times.cast("int")).filter("__times > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    plan = plan_mix(sizes, weights, max_repeats).select(F.col("source").alias(f"{own}at"), F.col("passes").alias(f"{own}passes"), F.col("cut").alias(f"{own}cut"))
+    found = docs.join(plan, F.col("source").eqNullSafe(F.col(f"{own}at")))
+    times = F.col(f"{own}passes") + (document_hash(F.col("doc_id"), seed) < F.col(f"{own}cut")).cast("long")
+    found = found.withColumn(f"{own}times", times.cast("int")).filter(F.col(f"{own}times") > 0)
+    return found.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}times")))).select(*docs.columns)
