@@ -5,19 +5,21 @@ and b ~ U(0, 1); with q = floor(ln w / r + b) the word's value is ln a = ln c -
 value over the words. Two texts have the same sample with a probability J, their generalised Jaccard similarity, so that a
 likeness has a standard error of sqrt(J (1 - J) / samples): at most 0.0625 with 64 samples.
 
-Texts are shuffled once, into ranges of doc_id: the text that follows is a window over a range, and words are counted and
-sampled where they are, so only the samples leave the task.
+Texts are shuffled once, into ranges of doc_id: the text that follows is a window over a range. Words are counted within
+the row and sampled where they are, so that a task holds the samples of its documents and no table of words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .store import settle
 
 SAMPLES = 64
-BLOCK = 16  # samples that one pass over a word's row takes, so that the compiled methods stay small
+BLOCK = 4  # samples that one pass over a word takes: small methods, which the JVM compiles
 LOWEST = -(1 << 63)
 DOC = ("range", "row", "doc_id", "n_chars", "sha")
 
@@ -45,17 +47,53 @@ def doc_ranges(docs: DataFrame, ranges: int) -> tuple[DataFrame, list[int]]:
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """Adds row (place in the range) and next_text, next_at: the row that follows by doc_id, after the last one the first."""
+    """Adds row (place in the range) and next_text: the text of the row that follows by doc_id, after the last one the first.
+
+    The first row of each range comes once more, behind the last one of the range before it, so that a window over a
+    range sees all it needs and no text is sent to other tasks than its own and that one.
+    """
     keyed, _ = doc_ranges(docs, ranges)
-    order = Window.partitionBy("range").orderBy("at", "text")
-    ids = keyed.groupBy("range").agg(F.min("at").alias("at"))  # a row for each range
-    heads = keyed.join(ids, ["range", "at"]).groupBy("range", "at").agg(F.min("text").alias("text"))
     everything = Window.orderBy("range")
-    following = settle(heads.select("range", "at", "text", F.coalesce(F.lead("at").over(everything), F.first("at").over(everything)).alias("head_at"), F.coalesce(F.lead("text").over(everything), F.first("text").over(everything)).alias("head_text")))
-    rows = keyed.select("*", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("n_text"), F.lead("at").over(order).alias("n_at"))
-    last = F.when(F.col("n_at").isNull(), F.col("range"))
-    rows = rows.withColumn("last_of", last).join(F.broadcast(following.select(F.col("range").alias("last_of"), "head_at", "head_text")), "last_of", "left")  # at most `ranges` rows
-    return rows.select("range", "row", "doc_id", "text", F.coalesce("n_text", "head_text").alias("next_text"))
+    firsts = keyed.groupBy("range").agg(F.min("at").alias("at"))  # a row for each range, as in the next two lines
+    firsts = firsts.select("range", "at", F.coalesce(F.lag("range").over(everything), F.last("range").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    heads = keyed.join(F.broadcast(firsts), ["range", "at"]).groupBy("before").agg(F.min("text").alias("text"))
+    again = heads.select(F.col("before").alias("range"), F.lit(LOWEST).alias("at"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("again"))
+    order = Window.partitionBy("range").orderBy("again", "at", "text")
+    both = keyed.select("range", "at", "doc_id", "text", F.lit(False).alias("again")).union(again)
+    rows = both.select("range", F.row_number().over(order).alias("row"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), "again")
+    return rows.filter("not again").drop("again")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also where body uses it for each element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
+def word_codes(text: Column, bit: int) -> Column:
+    """The hash of each word, its lowest bit replaced. What splitting leaves at the ends has the code of an empty word."""
+    return F.transform(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
+
+
+def weighed_terms(rows: DataFrame, own: Column, new: Column) -> DataFrame:
+    """A row for every distinct word of either text: term, and the logarithms w0, w1 of its counts, null where it has none.
+
+    The codes of both texts are sorted within the row. The word of an empty text weighs next to nothing, and so stands
+    only for a text without words.
+    """
+    fresh = lambda codes: F.filter(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: (i == 0) | (F.get(codes, i - 1) != F.get(codes, i)))
+    held = let(F.sort_array(F.concat(own, new)), lambda codes: F.struct(codes.alias("codes"), fresh(codes).alias("starts")))
+    rows = rows.select(*DOC, held.alias("held")).select(*DOC, F.col("held.codes").alias("codes"), F.col("held.starts").alias("starts"))
+    rows = rows.select("*", F.posexplode("starts").alias("place", "start"))
+    size = F.size("codes")
+    after, end = F.coalesce(F.get("starts", F.col("place") + 1), size), F.coalesce(F.get("starts", F.col("place") + 2), size)
+    code = F.get("codes", F.col("start"))
+    first = code.bitwiseAND(F.lit(1)) == 0
+    both = first & F.coalesce(F.get("codes", after) == code + 1, F.lit(False))  # the same word of the other text comes next
+    follows = ~first & F.coalesce(F.get("codes", F.col("start") - 1) == code - 1, F.lit(False))
+    n = after - F.col("start")
+    found = rows.filter(~follows).select(*DOC, code.bitwiseAND(F.lit(-2)).alias("term"), F.when(first, n).alias("n0"), F.when(~first, n).when(both, end - after).alias("n1"))
+    weight = lambda c: F.when(F.col(c).isNotNull(), F.when(F.col("term") == F.xxhash64(F.lit("")).bitwiseAND(F.lit(-2)), F.lit(-700.0)).otherwise(F.log(F.col(c).cast("double"))))
+    return found.select(*DOC, "term", weight("n0").alias("w0"), weight("n1").alias("w1"))
 
 
 def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES, ranges: int | None = None) -> DataFrame:
@@ -63,17 +101,16 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES, ranges: int | Non
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next document by doc_id. A
     null text is empty; texts without words share one fingerprint; a null doc_id comes first; rows that share a doc_id are
-    ordered by text; an empty table gives no rows; other columns are not read.
+    ordered by text; an empty table gives no rows; other columns are not read. A very long text is one row with its word
+    codes, sixteen bytes a word.
     """
     ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = with_next(docs, ranges).withColumn("edited", edited)
-    both = rows.select("range", "row", "doc_id", F.length("text").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("x")), F.struct(F.lit(True).alias("e"), F.col("edited").alias("x")))).alias("t"))
-    words = both.select("range", "row", "doc_id", "n_chars", "sha", F.col("t.e").alias("e"), F.explode(F.split("t.x", r"[\x20\x09-\x0D]+")).alias("word"))
-    # the empty strings that splitting leaves at the ends weigh next to nothing, yet stand for a text without words
-    weighed = lambda e: F.when(F.max(F.when(F.col("e") == e, F.length("word"))) == 0, F.lit(-700.0)).otherwise(F.log(F.nullif(F.count_if(F.col("e") == e), F.lit(0)).cast("double")))
-    counts = words.groupBy(*DOC, F.xxhash64("word").alias("term")).agg(weighed(False).alias("w0"), weighed(True).alias("w1"))
+    told = rows.withColumn("n_chars", F.length("text")).withColumn("sha", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
+    # counting the rows that pass ends a compiled stage: words and samples in one method are more than the JVM compiles
+    counts = weighed_terms(told, word_codes(F.col("text"), 0), word_codes(F.col("edited"), 1)).observe(Observation(), F.count(F.lit(1)).alias("terms"))
     blocks = counts.withColumn("block", F.explode(F.array(*map(F.lit, range(-(-samples // BLOCK))))))
     picks = []
     for k in range(BLOCK):
