@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CALIBRATION_STEPS = 10_000
+from matchloom.operators.calibration import block_ends, isotonic_blocks
 
 
 def preprocessor(numeric: list[str], categorical: list[str]) -> Pipeline:
@@ -116,8 +116,7 @@ def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificatio
 
 
 def calibrated(trained: Trained, val: DataFrame, label: str) -> Trained:
-    """Isotonic calibration. All rows count, in at most CALIBRATION_STEPS + 1 steps of p, which bounds what the driver pools."""
-    steps = trained.score(val).groupBy(F.round(F.col("p_raw") * CALIBRATION_STEPS).alias("step")).agg(
-        F.avg("p_raw").alias("p_raw"), F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol="p_raw", labelCol="label", weightCol="weight").fit(steps.select("p_raw", "label", "weight"))
+    """Isotonic calibration on distinct scores as they are: the blocks come from ranges, and the model keeps their ends."""
+    points = block_ends(isotonic_blocks(trained.score(val), "p_raw", label))
+    model = IsotonicRegression(featuresCol="p_raw", labelCol="label", weightCol="weight").fit(points)
     return Trained(trained.prepared, trained.classifier, model)

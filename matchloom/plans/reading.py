@@ -10,7 +10,7 @@ from matchloom.functions.trajectory import CRITERIA_COLUMNS, TRAJECTORY_COLUMNS,
 from matchloom.operators import adjacency as adj, channels as ch, explanations as ex
 from matchloom.operators.ordered import running_totals, value_at
 from matchloom.plans import tables as t
-from matchloom.plans.retrieval import bm25_channel, text_channels
+from matchloom.plans.retrieval import _example_side, bm25_channel, label_qrels, text_channels
 from matchloom.session import settle, spread
 from matchloom.sources import corpora, relevance
 
@@ -51,7 +51,7 @@ def posting_criteria(spark, folder):
 
 
 def extractor_summary(spark, folder):
-    """Counts of each extracted value, and experience coverage with min, middle and max."""
+    """Counts of each extracted value, and experience coverage; the years themselves are in years_spread."""
     rows = settle(with_trajectory(t.resumes(spark, folder)).select("resume_id", *TRAJECTORY_COLUMNS), "profiles")
     cells = F.array(
         F.struct(F.lit("seniority").alias("feature"), F.col("seniority").cast("string").alias("value")),
@@ -74,6 +74,38 @@ def role_count_spread(spark, folder):
     )
 
 
+def years_spread(spark, folder):
+    """Candidates with known years, and the least, upper middle and greatest of them."""
+    rows = with_trajectory(t.resumes(spark, folder)).select("years_experience")
+    ranked = running_totals(rows, "years_experience", {"n": F.count("*")})
+    return ranked.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("years_experience").alias("low"),
+        value_at(ranked, "years_experience", F.floor(F.col("n_all") / 2)).alias("middle"), F.max("years_experience").alias("high"))
+
+
+def high_careers(spark, folder):
+    """Candidates of eight years and more with a well-known employer."""
+    rows = with_trajectory(t.resumes(spark, folder))
+    return rows.filter("years_experience >= 8 and company_tier = 1").select("resume_id", "years_experience", "seniority", "domain")
+
+
+def postings_by_skills(spark, folder):
+    """Postings by how many skills they name, the richest first; equal ones by id."""
+    rows = t.jobs(spark, folder).select("job_id", F.size(tx.skills_in(F.col("description"))).alias("n_skills"))
+    return rows.orderBy(F.desc("n_skills"), "job_id")
+
+
+def case_study_posting(spark, folder):
+    """The first posting by id that asks for a senior and has five labels or more; without one, the first of all."""
+    _, _, chosen, asks = _example_side(spark, folder)
+    jobs = with_criteria(asks).select("job_id", "target_seniority")
+    counts = label_qrels(spark, folder, chosen).groupBy("query_id").agg(F.count("*").alias("n_labels"))
+    rows = jobs.join(counts, jobs["job_id"] == counts["query_id"], "left").select("job_id", "target_seniority", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
+    fits = (F.col("target_seniority") >= V.SENIOR) & (F.col("n_labels") >= 5)
+    best = F.min(F.struct((~fits).alias("other"), F.col("job_id").alias("job_id"), F.col("target_seniority").alias("target_seniority"), F.col("n_labels").alias("n_labels")))
+    return rows.agg(best.alias("b")).filter("b is not null").select("b.job_id", "b.target_seniority", "b.n_labels", (~F.col("b.other")).alias("eligible"))
+
+
 def audit_proxies(spark, folder):
     body = F.col("text")
     return t.resumes(spark, folder).select(
@@ -252,6 +284,10 @@ QUERIES = {
     "posting_criteria": posting_criteria,
     "extractor_summary": extractor_summary,
     "role_count_spread": role_count_spread,
+    "years_spread": years_spread,
+    "high_careers": high_careers,
+    "postings_by_skills": postings_by_skills,
+    "case_study_posting": case_study_posting,
     "audit_proxies": audit_proxies,
     "nation_countries": nation_countries,
     "text_previews": text_previews,

@@ -75,6 +75,54 @@ def snapshots(events: DataFrame, n_required: int, late: str = "1 hour", idle_day
     )
 
 
+_LABEL = "session_id long, started_us long, submitted_us long, label int"
+_PENDING = "started long, submits array<long>, told boolean"
+
+
+def abandonment_stream(events: DataFrame, days: int = 7, late: str = "1 hour") -> DataFrame:
+    """(session_id, started_at, submitted_at, label) of each application begun: 0 when it is submitted within the days, 1 when
+    an event-time timer ends them without.
+
+    ``events`` is a stream of (session_id, ts, action). Sessions that never filled or skipped a field give no row. A submit
+    may come before the event that began the session, as long as neither is later than ``late``; the timer waits for the
+    watermark, so no event in time is missed. State is kept until the days are over and holds a few times of each session.
+    """
+    window_us = days * 24 * HOUR_MS * 1000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, submits, told = state.get if state.exists else (None, [], False)
+        submits = list(submits)
+        out = []
+        if state.hasTimedOut:
+            if started is not None and not told:
+                out.append((key[0], started, None, 1))
+            state.remove()
+        else:
+            for batch in batches:
+                begun = batch.loc[batch["action"].isin(["fill", "skip"]), "us"]
+                if len(begun):
+                    started = min(int(begun.min()), started if started is not None else int(begun.min()))
+                submits += [int(us) for us in batch.loc[batch["action"] == "submit", "us"].unique()]
+            if started is not None:
+                inside = [us for us in submits if started <= us <= started + window_us]
+                if inside and not told:
+                    out.append((key[0], started, min(inside), 0))
+                    told = True
+                submits = [us for us in submits if us < started] if not told else []  # an earlier start may come late
+            submits = sorted(set(submits))
+            due = (started if started is not None else max(submits, default=0)) + window_us
+            state.update((started, submits, told))
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        rows = pd.DataFrame(out, columns=["session_id", "started_us", "submitted_us", "label"])
+        rows["submitted_us"] = rows["submitted_us"].astype("Int64")
+        yield rows
+
+    typed = events.withWatermark("ts", late).filter(F.col("action").isin("fill", "skip", "submit")).select(
+        F.col("session_id").cast("long").alias("session_id"), "ts", F.unix_micros("ts").alias("us"), "action")
+    found = typed.groupBy("session_id").applyInPandasWithState(step, _LABEL, _PENDING, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("session_id", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("submitted_us").alias("submitted_at"), "label")
+
+
 def rescored(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(session_id, seq, ts, elapsed, p, alert) of snapshots; the alert needs p of 0.5 and more and a model that does not abstain."""
     band = dc.abstention_band(F.round(dc.confidence(F.col("p")), 9))
