@@ -10,7 +10,8 @@ from matchloom.functions import decisions as dc, vocab as V
 from matchloom.operators import attributions as at, classifier_metrics as cm, features as fe, models as mo, simulate as sim, tree_attributions as ta
 from matchloom.plans import tables as t
 from matchloom.plans.retrieval import bm25_channel, dense_channel
-from matchloom.session import settle
+from matchloom.session import scratch_path, settle
+from matchloom.sources import artefacts
 
 #: Rounds at most, depth and step; the validation rows end the rounds.
 OFFER_BOOST = {"trees": 300, "depth": 5, "step": 0.06}
@@ -64,14 +65,41 @@ def model_quality(rows: DataFrame, found: dict[str, mo.Trained], label: str) ->
     return out.select("model", "split", *[F.round(c, 4).alias(c) for c in names], "n")
 
 
+#: Where a session keeps the offers of a folder and the models fitted on them: the queries below share one fit.
+_OFFER_MODELS: dict[tuple[str, str], tuple[DataFrame, str]] = {}
+
+
+def offer_models(spark, folder) -> tuple[DataFrame, dict[str, mo.Trained]]:
+    """The labelled offers and their models, fitted once in a session, saved in the shared folder and loaded from there."""
+    key = (spark.sparkContext.applicationId, folder)
+    names = ("linear", "boosted", "calibrated")
+    if key not in _OFFER_MODELS:
+        rows, path = labelled_offers(spark, folder), scratch_path(spark, "offer-models")
+        found = fit_all(rows, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL, schemas.OFFER_LABEL, OFFER_BOOST)
+        for name in names:
+            artefacts.save_trained(found[name], f"{path}/{name}")
+        _OFFER_MODELS[key] = (rows, path)
+    rows, path = _OFFER_MODELS[key]
+    return rows, {name: artefacts.load_trained(f"{path}/{name}") for name in names}
+
+
 def offer_model_quality(spark, folder):
-    rows = labelled_offers(spark, folder)
-    return model_quality(rows, fit_all(rows, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL, schemas.OFFER_LABEL, OFFER_BOOST), schemas.OFFER_LABEL)
+    rows, found = offer_models(spark, folder)
+    return model_quality(rows, found, schemas.OFFER_LABEL)
+
+
+def offer_presets(spark, folder):
+    """The three preset situations under the calibrated model of the folder's offers: probability of a refusal and its band."""
+    _, found = offer_models(spark, folder)
+    kinds = {c: "double" if isinstance(v, float) else "int" for c, v in V.OFFER_DEFAULTS.items()}
+    rows = [(name, *({**V.OFFER_DEFAULTS, **values}[c] for c in kinds)) for name, values in V.OFFER_SCENARIOS.items()]
+    presets = spark.createDataFrame(rows, "scenario string, " + ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return found["calibrated"].score(presets).select("scenario", F.round("p", 6).alias("p"), F.round("p_raw", 6).alias("p_raw"), dc.risk_band(F.col("p")).alias("band"))
 
 
 def _explained_offers(spark, folder) -> DataFrame:
-    rows = labelled_offers(spark, folder)
-    trained = fit_all(rows, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL, schemas.OFFER_LABEL, OFFER_BOOST)["calibrated"]
+    rows, found = offer_models(spark, folder)
+    trained = found["calibrated"]
     scored = settle(trained.score(rows), "scored")
     sources = mo.slot_sources(trained.prepared, OFFER_NUMERIC, schemas.OFFER_CATEGORICAL)
     return ta.tree_attributions(scored, [*OFFER_KEYS, "p_raw", "p"], trained.classifier, sources)
@@ -102,5 +130,5 @@ def dropoff_model_quality(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (offer_model_quality, offer_model_drivers, offer_model_importance, dropoff_features, dropoff_model_quality)
+    for f in (offer_model_quality, offer_presets, offer_model_drivers, offer_model_importance, dropoff_features, dropoff_model_quality)
 }

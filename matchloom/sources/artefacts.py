@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators.channels import Encoder, TokenHashEncoder, encode
+from matchloom.operators.models import Trained
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -63,6 +64,19 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_trained(trained: Trained, path: str) -> None:
+    """A fitted chain with its classifier and calibrator, each as a pipeline of its own."""
+    save_model(trained.prepared, f"{path}/prepared")
+    save_model(PipelineModel(stages=[trained.classifier]), f"{path}/classifier")
+    save_model(PipelineModel(stages=[trained.calibrator] if trained.calibrator is not None else []), f"{path}/calibrator")
+
+
+def load_trained(path: str) -> Trained:
+    """The chain as it was saved, in any session; it scores as the one that was fitted."""
+    calibrator = load_model(f"{path}/calibrator").stages
+    return Trained(load_model(f"{path}/prepared"), load_model(f"{path}/classifier").stages[0], calibrator[0] if calibrator else None)
+
+
 def available_models(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
     """The registered models whose folder exists."""
     jvm = spark.sparkContext._jvm

@@ -75,3 +75,24 @@ def test_rounds_end_by_validation_rows_and_queries_boost_as_the_survey_says(trai
     # a small step gains little a round, and goes on all the same
     slow = mo.fit_boosted(model.prepared, rows.filter("id % 4 <> 0"), val, "label", trees=12, depth=2, step=0.01)
     assert len(slow.classifier.trees) > 8
+
+
+def test_saved_chain_scores_as_the_fitted_one(trained, tmp_path):
+    from matchloom.sources import artefacts
+
+    rows, val, model = trained
+    for name, chain in (("calibrated", model), ("plain", mo.Trained(model.prepared, model.classifier))):
+        artefacts.save_trained(chain, str(tmp_path / name))
+        loaded = artefacts.load_trained(str(tmp_path / name))
+        assert sorted(map(tuple, loaded.score(val).select("id", "p_raw", "p").collect())) == sorted(map(tuple, chain.score(val).select("id", "p_raw", "p").collect()))
+    assert loaded.calibrator is None
+
+
+def test_presets_rise_from_accept_to_decline_on_one_fit(spark, monkeypatch):
+    # where no test before has fitted the whole model in this session, a small one stands in for it
+    monkeypatch.setattr(modelling, "OFFER_BOOST", {"trees": 20, "depth": 3, "step": 0.3})
+    p = {r["scenario"]: r for r in modelling.offer_presets(spark, SMALL).collect()}
+    assert p["likely_accept"]["p_raw"] < p["uncertain"]["p_raw"] < p["likely_decline"]["p_raw"]
+    assert p["likely_accept"]["p"] <= p["uncertain"]["p"] <= p["likely_decline"]["p"]
+    rows, path = modelling._OFFER_MODELS[(spark.sparkContext.applicationId, SMALL)]
+    assert modelling.offer_models(spark, SMALL)[0] is rows
