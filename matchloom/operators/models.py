@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import SparkContext
@@ -103,16 +104,21 @@ def best_rounds(losses: list[float], patience: int) -> int:
     return best + 1
 
 
+def ensemble(trees: list, weights: list[float], n_features: int, uid: str | None = None) -> GBTClassificationModel:
+    """A classifier of given regression trees; the library offers no public way to make one."""
+    context = SparkContext._active_spark_context
+    kind = context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    held, shares = context._gateway.new_array(kind, len(trees)), context._gateway.new_array(context._jvm.double, len(trees))
+    for k, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        held[k], shares[k] = tree._java_obj, float(weight)
+    made = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(uid or f"boosted_{uuid.uuid4().hex[:12]}", held, shares, n_features, 2)
+    return GBTClassificationModel(made)
+
+
 def first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
     if rounds >= model.getNumTrees:
         return model
-    own, context = model._java_obj, SparkContext._active_spark_context
-    kind = context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
-    trees, weights = context._gateway.new_array(kind, rounds), context._gateway.new_array(context._jvm.double, rounds)
-    for k in range(rounds):
-        trees[k], weights[k] = own.trees()[k], own.treeWeights()[k]
-    short = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), trees, weights, own.numFeatures(), 2)
-    return GBTClassificationModel(short)
+    return ensemble(model.trees[:rounds], list(model.treeWeights)[:rounds], model.numFeatures, model.uid)
 
 
 def calibrated(trained: Trained, val: DataFrame, label: str) -> Trained:

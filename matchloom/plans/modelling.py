@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom import schemas
 from matchloom.functions import decisions as dc, vocab as V
-from matchloom.operators import attributions as at, classifier_metrics as cm, features as fe, models as mo, simulate as sim, tree_attributions as ta
+from matchloom.operators import attributions as at, classifier_metrics as cm, features as fe, models as mo, search as sr, simulate as sim, staged as st, tree_attributions as ta
 from matchloom.plans import tables as t
 from matchloom.plans.retrieval import bm25_channel, dense_channel
 from matchloom.session import scratch_path, settle
@@ -128,7 +128,77 @@ def dropoff_model_quality(spark, folder):
     return model_quality(rows, fit_all(rows, DROPOFF_NUMERIC, schemas.DROPOFF_CATEGORICAL, schemas.DROPOFF_LABEL, DROPOFF_BOOST), schemas.DROPOFF_LABEL)
 
 
+#: Trials of the parameter search; the first has the parameters of DROPOFF_BOOST.
+TUNE_TRIALS = 20
+TUNED_REPORT = ["roc_auc", "pr_auc", "f1_at_0_5", "f1_optimal", "threshold_optimal", "brier"]
+
+
+def tuned_models(rows: DataFrame, numeric: list[str], categorical: list[str], label: str, boost: dict, trials: int, seed: int = 42, at_once: int = 4, space=None):
+    """Searches parameters by validation AUC on one settled, once prepared table: all trials, and three models.
+
+    `default` has the parameters of `boost`, `tuned` those of the best trial, and `calibrated` is the tuned one with an
+    isotonic calibration on the val rows. A trial's model is kept as fitted: a second fit on the same rows is the same.
+    """
+    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
+    prepared = mo.preprocessor(numeric, categorical).fit(train)
+    ready = settle(st.staged_rows(prepared, train, val, label), "tuning")
+
+    def objective(params):
+        fit = st.fit_staged(prepared, ready, seed=seed, **params)
+        return (fit.auc if fit.auc is not None else 0.5), fit
+
+    space = space or sr.BOOST_SPACE
+    plain = {"minInstancesPerNode": 1, "subsample": 1.0, "features": 1.0, "minInfoGain": 0.0, "minWeightFractionPerNode": 0.0}
+    done = sr.search(objective, space, trials, seed, at_once, first={**plain, **boost})
+    tuned = sr.best_trial(done).result.trained
+    return done, {"default": done[0].result.trained, "tuned": tuned, "calibrated": mo.calibrated(tuned, val, label)}
+
+
+def trial_rows(spark, done: list[sr.Trial]) -> DataFrame:
+    """A row for each trial: its parameters, validation AUC, rounds fitted and kept, and whether it is the best."""
+    best = sr.best_trial(done).number
+    names = list(sr.BOOST_SPACE)
+    rows = [(t.number, *[float(t.params[n]) for n in names], round(t.score, 6), t.result.rounds_fitted, len(t.result.trained.classifier.trees), t.number == best) for t in done]
+    columns = ["trial int", *[f"{n} double" for n in names], "val_auc double", "rounds_fitted int", "rounds_kept int", "best boolean"]
+    return spark.createDataFrame(rows, ", ".join(columns))
+
+
+def paired_quality(rows: DataFrame, found: dict[str, mo.Trained], label: str) -> DataFrame:
+    """The measures of each model on the val and the test rows, and its AUC over the default model's on the same rows."""
+    out = model_quality(rows, found, label)
+    base = out.filter("model = 'default'").select("split", F.col("roc_auc").alias("default_auc"))
+    return out.join(F.broadcast(base), "split").select("model", "split", *TUNED_REPORT, "n", F.round(F.col("roc_auc") - F.col("default_auc"), 4).alias("auc_over_default"))
+
+
+_TUNED: dict[tuple[str, str], tuple[DataFrame, list, str]] = {}
+
+
+def _tuned(spark, folder):
+    """The search on the folder's pairs, run once in a session; its models are saved and read back."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TUNED:
+        rows, path = labelled_pairs(spark, folder), scratch_path(spark, "dropoff-tuned")
+        done, found = tuned_models(rows, DROPOFF_NUMERIC, schemas.DROPOFF_CATEGORICAL, schemas.DROPOFF_LABEL, DROPOFF_BOOST, TUNE_TRIALS)
+        for name, trained in found.items():
+            artefacts.save_trained(trained, f"{path}/{name}")
+        _TUNED[key] = (rows, done, path)
+    rows, done, path = _TUNED[key]
+    return rows, done, {name: artefacts.load_trained(f"{path}/{name}") for name in ("default", "tuned", "calibrated")}
+
+
+def dropoff_parameter_trials(spark, folder):
+    """Every trial of the parameter search on the drop-off pairs."""
+    return trial_rows(spark, _tuned(spark, folder)[1])
+
+
+def dropoff_tuned_quality(spark, folder):
+    """Default, tuned, and tuned and calibrated model on val and test rows."""
+    rows, _, found = _tuned(spark, folder)
+    return paired_quality(rows, found, schemas.DROPOFF_LABEL)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (offer_model_quality, offer_presets, offer_model_drivers, offer_model_importance, dropoff_features, dropoff_model_quality)
+    for f in (offer_model_quality, offer_presets, offer_model_drivers, offer_model_importance, dropoff_features, dropoff_model_quality,
+              dropoff_parameter_trials, dropoff_tuned_quality)
 }
