@@ -8,13 +8,17 @@ from dataclasses import dataclass
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.operators.calibration import block_ends, isotonic_blocks
+from matchloom.session import settle
+
+#: Rows that a task of a fit holds at most, and at least where there are cores to spare.
+FIT_ROWS, FIT_ROWS_LEAST = 1_000_000, 5_000
 
 
 def preprocessor(numeric: list[str], categorical: list[str]) -> Pipeline:
@@ -70,10 +74,29 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, n["neg"] / n["pos"]).otherwise(1.0))
 
 
+def inputs(prepared: PipelineModel) -> list[str]:
+    """The columns that a fitted preprocessor reads."""
+    first, *others = [stage for stage in prepared.stages if stage.hasParam("inputCols") and stage.isSet("inputCols")][:2]
+    return [*first.getInputCols(), *(c for stage in others if isinstance(stage, StringIndexerModel) for c in stage.getInputCols())]
+
+
+def equal_rows(prepared: PipelineModel, df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
+    """(features, label, weight): rows of equal values are one that weighs as they do together, dealt evenly over the tasks.
+
+    A table of one file is one task however many cores there are, and a fit passes over it some thousand times.
+    """
+    keys = [F.col(c) for c in inputs(prepared)]
+    own = F.lit(1.0) if weight is None else F.first(weight)  # the weight goes by the label
+    counted = settle(df.groupBy(*keys, F.col(label).cast("double").alias("_label")).agg((F.count("*") * own).alias("weight")), "fit")
+    n = counted.count()
+    parts = max(min(df.sparkSession.sparkContext.defaultParallelism, n // FIT_ROWS_LEAST), n // FIT_ROWS, 1)
+    return prepared.transform(counted.repartition(parts)).select("features", F.col("_label").alias("label"), "weight")
+
+
 def fit_linear(prepared: PipelineModel, train: DataFrame, label: str, c: float = 1.0, iterations: int = 1000) -> Trained:
     """Logistic regression whose penalty is 1 / (c * rows), as a summed loss with strength c has it."""
-    rows = prepared.transform(train).select("features", F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(maxIter=iterations, regParam=1.0 / (c * train.count()), standardization=False).fit(rows)
+    rows = equal_rows(prepared, train, label)
+    model = LogisticRegression(maxIter=iterations, regParam=1.0 / (c * train.count()), standardization=False, weightCol="weight").fit(rows)
     return Trained(prepared, model)
 
 
@@ -86,8 +109,8 @@ def fit_boosted(
     All rounds are fitted, as the library's own stopping ends at the first small gain, which a small step gives at once.
     The loss counts as least where `patience` further rounds bring no less.
     """
-    rows = prepared.transform(class_weights(train, label)).select("features", F.col(label).cast("double").alias("label"), "weight")
-    held = prepared.transform(val.withColumn("weight", F.lit(1.0))).select("features", F.col(label).cast("double").alias("label"), "weight")
+    rows = equal_rows(prepared, class_weights(train, label), label, "weight")
+    held = equal_rows(prepared, val, label)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, weightCol="weight", seed=seed, **options).fit(rows)
     losses = model.evaluateEachIteration(held) if held.take(1) else []
     return Trained(prepared, first_rounds(model, best_rounds(losses, patience) if losses else trees))
