@@ -17,22 +17,28 @@ def _order() -> Column:
     return F.struct("ts", "seq")
 
 
-def field_states(events: DataFrame, salts: int | None = None) -> DataFrame:
+#: Acts of one field of a session that a task takes at most; only a field with more is spread by salts.
+ACTS = 100_000
+
+
+def field_states(events: DataFrame, acts_at_once: int = ACTS) -> DataFrame:
     """(session_id, field, status) for fields touched; ``seq`` orders equal times."""
-    salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     typed = events.filter(F.col("field").isNotNull() & F.col("action").isin("fill", "skip", "clear"))
-    cleared = typed.filter(F.col("action") == "clear").groupBy("session_id", "field").agg(
-        F.max(_order()).alias("cleared_at")
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    acts = typed.filter(F.col("action") != "clear").withColumn(
-        "salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int")
-    )
-    # One session may hold a third of the events: the salt spreads its rows.
-    open_acts = acts.join(cleared, ["session_id", "field", "salt"], "left").filter(
+    keys = ["session_id", "field"]
+    is_clear = F.col("action") == "clear"
+    known = typed.groupBy(*keys).agg(F.max(F.when(is_clear, _order())).alias("cleared_at"), F.count_if(~is_clear).alias("n"))
+    # One session may hold a third of the events: salts spread its rows. Such fields are few, a row for each 100,000 acts at most.
+    salts = F.ceil(F.col("n") / acts_at_once).cast("int")
+    crowded = known.filter(F.col("cleared_at").isNotNull() & (F.col("n") > acts_at_once)).select(*keys, salts.alias("salts"))
+    cleared = known.filter(F.col("cleared_at").isNotNull() & (F.col("n") > 0)).select(
+        *keys, "cleared_at", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    acts = typed.filter(~is_clear).join(F.broadcast(crowded), keys, "left").withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64("seq"), F.col("salts")).cast("int"), F.lit(0))).drop("salts", "is_mobile")
+    open_acts = acts.join(cleared, [*keys, "salt"], "left").filter(
         F.col("cleared_at").isNull() | (_order() > F.col("cleared_at"))
     )
     first = F.min_by("action", _order())
-    return open_acts.groupBy("session_id", "field").agg(
+    return open_acts.groupBy(*keys).agg(
         F.when(first == "fill", "filled").otherwise("skipped").alias("status")
     )
 

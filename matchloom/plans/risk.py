@@ -83,7 +83,8 @@ def minimum_interventions(spark, folder):
 
 
 def training_statistics(spark, folder):
-    stats = mo.training_stats(_sessions(spark, folder), schemas.MONITORED_FEATURES)
+    live = settle(_sessions(spark, folder).select(*schemas.MONITORED_FEATURES), "sessions")
+    stats = mo.training_stats(live, schemas.MONITORED_FEATURES)
     return stats.select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p05", "p50", "p95")])
 
 
@@ -94,14 +95,14 @@ def value_quantiles(spark, folder):
 
 
 def session_drift(spark, folder):
-    live = _sessions(spark, folder)
+    live = settle(_sessions(spark, folder).select("session_id", *schemas.MONITORED_FEATURES), "sessions")
     stats = mo.training_stats(live, schemas.MONITORED_FEATURES)
     report = mo.drift_report(mo.drift_cells(live, "session_id", schemas.MONITORED_FEATURES, stats), "session_id")
     return report.select("session_id", F.round("max_abs_z", 6).alias("max_abs_z"), F.array_join("features_flagged", ",").alias("flagged"), "verdict")
 
 
 def _attributed(spark, folder) -> DataFrame:
-    rows = _rule_rows(spark, folder)
+    rows = settle(_rule_rows(spark, folder), "sessions")
     return at.linear_attributions(rows, "session_id", dc.dropoff_terms(), V.DROPOFF_WEIGHTS, V.DROPOFF_INTERCEPT)
 
 
@@ -127,7 +128,7 @@ def _posting_rows(spark, folder) -> DataFrame:
     hits = bm25_channel(t.resumes(spark, folder), t.jobs(spark, folder), 20)
     n = t.table(spark, folder, "events").agg(F.max("user_id").alias("m")).first()["m"] + 1
     scored = _attributed(spark, folder).select("session_id", "p", "attributions")
-    return hits.withColumn("session_id", (F.col("doc_id") * 31 + F.col("query_id")) % n).join(scored, "session_id")
+    return settle(hits.withColumn("session_id", (F.col("doc_id") * 31 + F.col("query_id")) % n).join(scored, "session_id"), "postings")
 
 
 def posting_health(spark, folder):
