@@ -16,6 +16,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,8 @@ Prepare = Callable[[pa.Table], Any]
 # Scores a corpus batch: one row per document, one column per query.
 Score = Callable[[Any, pa.Table], np.ndarray]
 
-_CELLS = 2_000_000
+#: Scores, and items of list columns, that a worker holds at once; a batch of long lists is cut further.
+_CELLS, _ITEMS = 500_000, 500_000
 # Scores that differ by rounding noise only count as ties, settled by id.
 SCORE_DECIMALS = 9
 
@@ -77,8 +79,14 @@ class _Best:
         return pa.Table.from_arrays(columns, schema=schema)
 
 
+def _items(table: pa.Table) -> int:
+    """How many items the list columns hold."""
+    lists = (c for c in table.columns if pa.types.is_list(c.type))
+    return max((pc.sum(pc.list_value_length(c)).as_py() or 0 for c in lists), default=0)
+
+
 def _feed(best: _Best, state: Any, score: Score, table: pa.Table, n_queries: int) -> None:
-    step = max(1, _CELLS // max(1, n_queries))
+    step = max(1, min(_CELLS // max(1, n_queries), _ITEMS * table.num_rows // max(1, _items(table))))
     for start in range(0, table.num_rows, step):
         part = table.slice(start, step)
         best.add(np.round(score(state, part), SCORE_DECIMALS), _keys(part.column(0)))

@@ -27,14 +27,20 @@ Encoder = Callable[[list[str]], np.ndarray]
 class TokenHashEncoder:
     """Deterministic stand-in for a sentence encoder: unit-length hashed token counts."""
 
+    #: Tokens whose slot is remembered at most.
+    KNOWN = 100_000
+
     def __init__(self, dim: int = 384) -> None:
         self.dim = dim
         self.name = f"token-hash-{dim}"
+        self.slots: dict[str, int] = {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        slots: dict[str, int] = {}
+        slots = self.slots
         out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
+            if len(slots) > self.KNOWN:
+                slots.clear()
             for token in re.findall(V.TOKEN_PATTERN, text):
                 token = token.lower()
                 if token not in slots:
@@ -43,23 +49,29 @@ class TokenHashEncoder:
         return out
 
 
-def encode(df: DataFrame, text: str, encoder: Encoder | None = None, out: str = "vector") -> DataFrame:
-    """Adds an L2-normalised float vector of a text column, a batch at a time."""
+#: Texts that a worker encodes at once: its memory is bounded by these, not by the rows of a batch.
+ENCODE_ROWS = 512
+
+
+def encode(df: DataFrame, text: str, encoder: Encoder | None = None, out: str = "vector", keep_text: bool = True) -> DataFrame:
+    """Adds an L2-normalised float vector of a text column, some texts at a time."""
     encoder = encoder or TokenHashEncoder()
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    kept = [c for c in df.columns if keep_text or c != text]
+    schema = T.StructType([f for f in df.schema.fields if f.name in kept] + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            raw = np.asarray(encoder(texts), dtype=np.float64)
-            norms = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-            unit = (raw / np.where(norms == 0, 1.0, norms)).astype(np.float32)
-            lists = pa.ListArray.from_arrays(
-                np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32), pa.array(unit.ravel())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, lists], names=[*batch.schema.names, out]
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, ENCODE_ROWS):
+                batch = whole.slice(start, ENCODE_ROWS)
+                texts = [t or "" for t in batch.column(text).to_pylist()]
+                raw = np.asarray(encoder(texts), dtype=np.float64)
+                norms = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+                unit = (raw / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+                lists = pa.ListArray.from_arrays(
+                    np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32), pa.array(unit.ravel())
+                )
+                # a text that nothing after the encoder asks for is not sent back
+                yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, lists], names=[*kept, out])
 
     return df.mapInArrow(run, schema)
 
@@ -167,7 +179,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, max_query_rows: int |
         pair, tf = np.unique(row * len(words) + at.filter(known).to_numpy(), return_counts=True)
         row, word = pair // len(words), pair % len(words)
         share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean_length))
-        step = max(1, 4_000_000 // table.shape[1])
+        step = max(1, 500_000 // table.shape[1])
         for start in range(0, len(row), step):
             part = slice(start, start + step)
             firsts = np.flatnonzero(np.diff(row[part], prepend=-1))
