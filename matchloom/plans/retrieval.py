@@ -85,9 +85,10 @@ def text_channels(spark: SparkSession, folder: str, pool: int, names=("dense", "
 def _example_side(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Candidates with vectors and texts, and each label's prototype as a posting."""
     embeddings = t.vectors(spark, folder)
-    texts = t.resumes(spark, folder).join(embeddings.select(F.col("vec_id").alias("resume_id")), "resume_id", "left_semi")
+    # the texts are read by every channel and rerank: they are matched to the vectors once
+    texts = settle(t.resumes(spark, folder).join(embeddings.select(F.col("vec_id").alias("resume_id")), "resume_id", "left_semi"), "texts")
     chosen = settle(t.prototypes(embeddings), "prototypes")
-    asks = t.resumes(spark, folder).join(chosen.select(F.col("vec_id").alias("resume_id")), "resume_id").select(
+    asks = t.resumes(spark, folder).join(F.broadcast(chosen.select(F.col("vec_id").alias("resume_id"))), "resume_id").select(
         F.col("resume_id").alias("job_id"), F.lit("").alias("title"), F.col("text").alias("description"),
         F.col("skills").alias("required_skills"), F.col("years_experience").alias("min_years_experience"),
     )
@@ -98,10 +99,10 @@ def label_qrels(spark: SparkSession, folder: str, chosen: DataFrame) -> DataFram
     """Grade 2 for the prototype's label and language, 1 for its label."""
     lang = t.table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
     items = t.vectors(spark, folder).select("vec_id", "label").join(lang, "vec_id", "left")
-    own = items.join(chosen.select("vec_id"), "vec_id", "left_semi").select(
+    own = items.join(F.broadcast(chosen.select("vec_id")), "vec_id", "left_semi").select(
         F.col("vec_id").alias("query_id"), "label", F.col("lang").alias("query_lang")
     )
-    return items.join(own, "label").select(
+    return items.join(F.broadcast(own), "label").select(
         "query_id", F.col("vec_id").alias("doc_id"), F.when(F.col("lang") == F.col("query_lang"), 2.0).otherwise(1.0).alias("grade")
     )
 
@@ -207,7 +208,8 @@ def retriever_comparison(spark, folder):
     }
     found = {n: settle(df, n) for n, df in found.items()}
     ranked = compare_retrievers(found, texts, asks, depth, pool)
-    per_query = rm.per_query_metrics(ranked, label_qrels(spark, folder, chosen), KS, ["retriever"])
+    qrels = settle(label_qrels(spark, folder, chosen), "qrels")  # as many as vectors, and read three times
+    per_query = rm.per_query_metrics(ranked, qrels, KS, ["retriever"])
     means = rm.mean_metrics(per_query, ["retriever"])
     names = ["mean_precision", "mean_recall", "mean_ndcg", "mrr"]
     return means.select("retriever", "k", *[F.round(c, 6).alias(c) for c in names], "n_queries")

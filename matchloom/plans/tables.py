@@ -50,12 +50,13 @@ def prototypes(embeddings: DataFrame) -> DataFrame:
     dot = F.aggregate(
         F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v
     )
-    near = embeddings.join(label_centroids(embeddings), "label").select(
+    # a row for each label: neither join sends the vectors round
+    near = embeddings.join(F.broadcast(label_centroids(embeddings)), "label").select(
         "label", "vec_id", F.round(dot, 9).alias("closeness")
     )
     best = near.groupBy("label").agg(F.max(F.struct("closeness", (-F.col("vec_id")).alias("order"))).alias("b"))
     chosen = best.select((-F.col("b.order")).alias("vec_id"))
-    return embeddings.join(chosen, "vec_id").select("label", "vec_id", "embedding")
+    return embeddings.join(F.broadcast(chosen), "vec_id").select("label", "vec_id", "embedding")
 
 
 def form_events(spark: SparkSession, folder: str) -> DataFrame:
