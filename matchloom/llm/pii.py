@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .store import settle
 
 KINDS = ("email", "ip", "card", "phone")
+SCORE_STEPS = 4096  # steps of a score in which candidates are counted: the driver holds no more for each kind and label
+FIT_ROWS = 100_000  # different candidates that a task of the fit holds
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -187,67 +189,73 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, FOUND)
 
 
-def hidden_share(odds: np.ndarray) -> float:
+def hidden_share(odds: np.ndarray, counts: np.ndarray) -> float:
     """The share of personal data among candidates of these likelihood ratios, by expectation maximisation."""
     share = 0.5
     for _ in range(200):
-        share = float((share * odds / (share * odds + 1 - share)).mean())
+        share = float(np.average(share * odds / (share * odds + 1 - share), weights=counts))
     return share
 
 
-def thresholds(scored: pd.DataFrame, precision: float) -> dict[str, float]:
+def score_counts(scored: DataFrame) -> DataFrame:
+    """kind, label, p, mean and n: how many candidates have a score of a step, the lowest of them and their mean."""
+    step = F.floor(F.col("p") * SCORE_STEPS)
+    return scored.groupBy("kind", "label", step.alias("step")).agg(F.min("p").alias("p"), F.avg("p").alias("mean"), F.count("*").alias("n")).drop("step")
+
+
+def thresholds(counted: pd.DataFrame, precision: float) -> dict[str, float]:
     """Per kind the lowest score from which the unlabelled are precise enough; none: above every score.
 
-    scored: kind, label (null: unlabelled) and p, of held-out and unlabelled candidates. The rate of junk is smoothed.
+    counted: score_counts of held-out and unlabelled candidates (label null). The rate of junk is smoothed.
     """
     found = {}
-    for kind, own in scored.groupby("kind"):
-        real, junk, open_ = (np.sort(own["p"][own["label"].isna() if label is None else own["label"] == label].to_numpy()) for label in (1.0, 0.0, None))
+    for kind, own in counted.groupby("kind"):
+        real, junk, open_ = (own[own["label"].isna() if label is None else own["label"] == label].sort_values("p") for label in (1.0, 0.0, None))
         if not len(real) or not len(junk) or not len(open_):
             continue
-        p = np.clip(open_, 1e-4, 1 - 1e-4)
-        share = hidden_share(p / (1 - p) * len(junk) / len(real))
-        for limit in np.unique(real[real > 0.5]):
-            right = share * (real >= limit).mean()
-            wrong = (1 - share) * ((junk >= limit).sum() + 0.05) / (len(junk) + 0.1)
+        n_real, n_junk = real["n"].sum(), junk["n"].sum()
+        p = np.clip(open_["mean"].to_numpy(), 1e-4, 1 - 1e-4)
+        share = hidden_share(p / (1 - p) * n_junk / n_real, open_["n"].to_numpy())
+        for limit in np.unique(np.floor(real["p"][real["p"] > 0.5] * SCORE_STEPS) / SCORE_STEPS):
+            right = share * real["n"][real["p"] >= limit].sum() / n_real
+            wrong = (1 - share) * (junk["n"][junk["p"] >= limit].sum() + 0.05) / (n_junk + 0.1)
             if right >= precision * (right + wrong):
                 found[kind] = float(limit)
                 break
     return found
 
 
-def select_spans(found: DataFrame, sample: int, precision: float) -> DataFrame:
-    """row and extra (the spans selected beside the base). At most about `sample` candidates of each kind and label, by a hash, are fitted on or held out."""
-    rows = found.select("row", F.explode("candidates").alias("c")).select("row", "c.*").withColumn("h", F.xxhash64("row", "start", "stop", "kind", "features"))
+def select_spans(found: DataFrame, precision: float, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """row and extra (the spans selected beside the base). All candidates are fitted on, held out or, if unlabelled, weighed."""
+    rows = found.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     none = found.select("row", F.array().cast("array<struct<p:double,kind:string,start:bigint,stop:bigint>>").alias("extra")).limit(0)
     # ip has no loose form: its other candidates fail the check
     sizes = {(r["kind"], r["label"]): r["count"] for r in rows.groupBy("kind", "label").count().collect()}
-    open_kinds = [k for k in KINDS if all((k, label) in sizes for label in (None, 0.0, 1.0))]
-    if not open_kinds:
+    if not any(all((k, label) in sizes for label in (None, 0.0, 1.0)) for k in KINDS):
         return none
-    share = F.lit(1.0)
-    for (kind, label), n in sizes.items():
-        share = F.when((F.col("kind") == kind) & F.col("label").eqNullSafe(F.lit(label).cast("double")), F.lit(min(1.0, sample / n))).otherwise(share)
-    bounded = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    bounded = settle(bounded.withColumn("x", array_to_vector("features")))
+    judged = rows.withColumn("x", array_to_vector("features"))
     # a span and its hidden forms share a side
     side = F.pmod(F.xxhash64("row"), F.lit(3))
-    fit, held = bounded.filter((side > 0) & F.col("label").isNotNull()), bounded.filter((side == 0) | F.col("label").isNull())
-    if fit.select("label").distinct().count() < 2:
+    # equal candidates are one that weighs as they do together, and a task of the fit holds some rows only
+    fit = settle(judged.filter((side > 0) & F.col("label").isNotNull()).groupBy("features", "label").agg(F.count("*").cast("double").alias("weight")))
+    counts = fit.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
+    if counts["labels"] < 2:
         return none
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=15, maxDepth=4, seed=7).fit(fit.coalesce(1))
+    dealt = fit.withColumn("x", array_to_vector("features")).repartition(max(1, -(-counts["n"] // fit_rows)), "features").sortWithinPartitions("features", "label")
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=15, maxDepth=4, seed=7).fit(dealt)
     p = vector_to_array("probability")[1]
-    limits = thresholds(model.transform(held).select("kind", "label", p.alias("p")).toPandas(), precision)
+    held = judged.filter((side == 0) | F.col("label").isNull())
+    limits = thresholds(score_counts(model.transform(held).select("kind", "label", p.alias("p"))).toPandas(), precision)
     if not limits:
         return none
     limit = F.lit(None).cast("double")
     for kind, least_p in limits.items():
         limit = F.when(F.col("kind") == kind, F.lit(least_p)).otherwise(limit)
-    scored = model.transform(rows.filter("free").withColumn("x", array_to_vector("features"))).withColumn("p", p)
+    scored = model.transform(judged.filter("free")).withColumn("p", p)
     return scored.filter(F.col("p") >= limit).groupBy("row").agg(F.collect_list(F.struct("p", "kind", "start", "stop")).alias("extra"))
 
 
-def find_personal_data(docs: DataFrame, sample: int = 30_000, precision: float = 0.995) -> DataFrame:
+def find_personal_data(docs: DataFrame, precision: float = 0.995) -> DataFrame:
     """Per document: doc_id, base counts, base_sha256 and spans (kind:start:end of all spans, in code points).
 
     Of overlapping additions the higher score wins, then the earlier start. A null or empty text has no spans; repeated
@@ -255,7 +263,7 @@ def find_personal_data(docs: DataFrame, sample: int = 30_000, precision: float =
     beyond doc_id and text are not read.
     """
     found = settle(find_candidates(docs).withColumn("row", F.monotonically_increasing_id()))
-    extra = select_spans(found, sample, precision)
+    extra = select_spans(found, precision)
 
     @F.pandas_udf("string")
     def all_spans(base: pd.Series, more: pd.Series) -> pd.Series:
