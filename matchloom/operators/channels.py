@@ -119,8 +119,12 @@ def tokenised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(tok, df): each document sends a token once and tasks pre-count before the shuffle."""
-    return docs.select(F.explode(F.array_distinct("toks")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    """(tok, df): each document sends a token once and tasks pre-count before the shuffle.
+
+    A plain explode has the tokens made once more, for a filter before it.
+    """
+    rows = docs.select(F.explode_outer(F.array_distinct("toks")).alias("tok")).filter(F.col("tok").isNotNull())
+    return rows.groupBy("tok").agg(F.count("*").alias("df"))
 
 
 def inverse_frequencies(frequencies: DataFrame, n_docs: int) -> DataFrame:
