@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from matchloom.config import settings
 from matchloom.functions import vocab as V
+from matchloom.functions.text import has_digit
 
 _ROLE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("finish", T.IntegerType())])
 ROLES_TYPE = T.StructType([
@@ -76,8 +77,12 @@ def _dated_roles(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"roles": roles, "recent_text": recent})
 
 
+#: Part of every find of the date-range patterns; the four separators are blanks in Python only.
+_RANGE_SHARED = r"(?U)\d{4}[\s\x1c-\x1f]*[-–—toTO]|\d/\d\d"
+
+
 def dated_roles(text: Column) -> Column:
-    return _dated_roles(F.when(text.rlike(r"(?U)\d"), text))
+    return _dated_roles(F.when(has_digit(text) & text.rlike(_RANGE_SHARED), text))
 
 
 def recent_roles(roles: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.config import settings
 from matchloom.functions import vocab as V
+from matchloom.functions.wordsearch import words_in
 
 # Character classes and case folding cover all of Unicode.
 _FOLD = "(?iuU)"
@@ -26,6 +27,10 @@ def blank_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def has_digit(c: Column) -> Column:
+    return F.rlike(c, F.lit(_EXACT + r"\d"))
+
+
 def strip(c: Column) -> Column:
     """Trims every kind of whitespace, which ``trim`` does not."""
     return F.regexp_replace(c, _EXACT + r"^\s+|\s+$", "")
@@ -48,7 +53,8 @@ def tokens(text: Column) -> Column:
 
 def _folded(text: Column) -> Column:
     """Lower case, with the four letters that only fold to ASCII letters folded too."""
-    return F.lower(F.translate(blank_if_null(text), "ſKıİ", "skii"))
+    body = blank_if_null(text)
+    return F.lower(F.when(F.rlike(body, F.lit("[ſKıİ]")), F.translate(body, "ſKıİ", "skii")).otherwise(body))
 
 
 def _mentions(low: Column, words: list[str]) -> Column:
@@ -74,29 +80,47 @@ def skills_or_text(listed: Column, text: Column) -> Column:
 def years_of_experience(text: Column) -> Column:
     """The first phrase, in order of how specific it is, that gives 1 to 59 years.
 
-    Texts without what all phrases share are not searched phrase by phrase.
+    Texts without a digit, or without what all phrases share, are not searched phrase by phrase.
     """
     body = blank_if_null(text)
     found = F.array(*[F.regexp_extract(body, _FOLD + p, 1) for p in V.YOE_PATTERNS])
     numbers = F.transform(found, lambda s: s.try_cast("int"))
     years = F.transform(numbers, lambda n: F.when(n >= 1900, settings.reference_year - n).otherwise(n))
     first = F.get(F.filter(years, lambda y: (y > 0) & (y < 60)), F.lit(0)).cast("double")
-    return F.when(F.rlike(body, F.lit(_FOLD + V.YOE_SHARED)), first)
+    return F.when(has_digit(body) & F.rlike(body, F.lit(_FOLD + V.YOE_SHARED)), first)
+
+
+def title_words(text: Column) -> Column:
+    """The words of seniority and the tier-one employers in the text: one search for ``seniority`` and ``company_tier``."""
+    levels = [w for words in V.SENIORITY_WORDS.values() for w in words]
+    return words_in(_folded(text), [*levels, *V.MID_WORDS, *V.TIER_ONE_EMPLOYERS])
+
+
+def domain_words(text: Column) -> Column:
+    """The words of all domains in the text, in one search."""
+    return words_in(F.lower(blank_if_null(text)), [w for words in V.DOMAIN_WORDS.values() for w in words])
+
 
+def _listed(found: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(found, _strings(words))
 
-def seniority(text: Column) -> Column:
-    """The highest level whose titles occur; a level's regex runs only where its words do."""
+
+def seniority(text: Column, found: Column | None = None) -> Column:
+    """The highest level whose titles occur; a level's regex runs only where its words do.
+
+    ``found`` are the text's ``title_words`` where they are known.
+    """
     body = blank_if_null(text)
 
-    def choose(low: Column) -> Column:
+    def choose(source: Column, has) -> Column:
         level = None
         for code, patterns in V.SENIORITY_PATTERNS:
             pattern = F.lit(_FOLD + "|".join(f"(?:{p})" for p in patterns))
-            hit = _mentions(low, V.SENIORITY_WORDS[code]) & F.rlike(body, pattern)
+            hit = has(source, V.SENIORITY_WORDS[code]) & F.rlike(body, pattern)
             level = F.when(hit, code) if level is None else level.when(hit, code)
-        return level.when(_mentions(low, V.MID_WORDS), V.MID).otherwise(V.UNKNOWN)
+        return level.when(has(source, V.MID_WORDS), V.MID).otherwise(V.UNKNOWN)
 
-    return _let(_folded(body), choose)
+    return _let(_folded(body), lambda low: choose(low, _mentions)) if found is None else choose(found, _listed)
 
 
 def coarse_seniority(text: Column) -> Column:
@@ -111,24 +135,30 @@ def coarse_seniority(text: Column) -> Column:
     return _let(F.lower(blank_if_null(text)), choose)
 
 
-def domain(text: Column) -> Column:
-    """The domain with most of its words present; ties go to the earlier domain."""
-    def hits(low: Column) -> Column:
+def domain(text: Column, found: Column | None = None) -> Column:
+    """The domain with most of its words present; ties go to the earlier domain.
+
+    ``found`` are the text's ``domain_words`` where they are known.
+    """
+    has = _mentions if found is None else _listed
+
+    def hits(source: Column) -> Column:
         counts = []
         for place, (name, words) in enumerate(V.DOMAIN_WORDS.items()):
-            n = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+            n = sum((has(source, [w]).cast("int") for w in words), F.lit(0))
             counts.append(F.struct(n.alias("hits"), F.lit(-place).alias("order"), F.lit(name).alias("name")))
         return F.array_max(F.array(*counts))
 
-    best = _let(F.lower(blank_if_null(text)), hits)
+    best = _let(F.lower(blank_if_null(text)), hits) if found is None else hits(found)
     return _let(best, lambda b: F.when(b["hits"] > 0, b["name"]).otherwise(V.GENERAL_DOMAIN))
 
 
-def company_tier(text: Column) -> Column:
-    """1 where a tier-one employer is named as an employer, not just mentioned."""
+def company_tier(text: Column, found: Column | None = None) -> Column:
+    """1 where a tier-one employer is named as an employer, not just mentioned; ``found`` as for ``seniority``."""
     names = "(?:" + "|".join(V.TIER_ONE_EMPLOYERS) + ")"
     pattern = "|".join(f"(?:{p.format(c=names)})" for p in V.EMPLOYER_CONTEXTS)
-    named = _let(_folded(text), lambda low: _mentions(low, V.TIER_ONE_EMPLOYERS))
+    known = V.TIER_ONE_EMPLOYERS
+    named = _let(_folded(text), lambda low: _mentions(low, known)) if found is None else _listed(found, known)
     return (named & F.rlike(blank_if_null(text), F.lit(_FOLD + pattern))).cast("int")
 
 

@@ -19,19 +19,25 @@ def _joined(skills: Column) -> Column:
 
 
 def with_trajectory(resumes: DataFrame) -> DataFrame:
-    """Adds the trajectory columns to (text, skills, years_experience, target_role)."""
+    """Adds the trajectory columns to (text, skills, years_experience, target_role).
+
+    Whole texts are searched for all words at once; the few recent passages word by word, where there are any.
+    """
     body = T.blank_if_null(F.col("text"))
     role = T.blank_if_null(F.col("target_role"))
-    dated = resumes.withColumn("_dated", periods.dated_roles(body))
+    titled, whole = F.concat(role, F.lit(" "), body), F.concat(_joined(F.col("skills")), role, F.lit(" "), body)
+    dated = resumes.withColumns({
+        "_dated": periods.dated_roles(body), "_titles": T.title_words(titled), "_domains": T.domain_words(whole),
+    })
     roles = F.col("_dated.roles")
     recent_text = F.col("_dated.recent_text")
     n_recent = F.size(periods.recent_roles(roles))
     has_text = (n_recent > 0) & (T.strip(recent_text) != "")
     years = F.coalesce(F.col("years_experience"), T.years_of_experience(body))
     return (
-        dated.withColumn("seniority", T.seniority(F.concat(role, F.lit(" "), body)))
-        .withColumn("domain", T.domain(F.concat(_joined(F.col("skills")), role, F.lit(" "), body)))
-        .withColumn("company_tier", T.company_tier(body))
+        dated.withColumn("seniority", T.seniority(titled, F.col("_titles")))
+        .withColumn("domain", T.domain(whole, F.col("_domains")))
+        .withColumn("company_tier", T.company_tier(body, F.col("_titles")))
         .withColumn("role_count", T.role_mentions(body))
         .withColumn("recent_yoe", F.when(F.size(roles) > 0, periods.recent_years(roles)))
         .withColumn("n_recent_roles", n_recent)
@@ -40,7 +46,7 @@ def with_trajectory(resumes: DataFrame) -> DataFrame:
         .withColumn("recent_company_tier", F.when(has_text, T.company_tier(recent_text)).otherwise(0))
         .withColumn("years_experience", years)
         .withColumn("tenure_signal", T.tenure_signal(F.col("years_experience")))
-        .drop("_dated")
+        .drop("_dated", "_titles", "_domains")
     )
 
 
