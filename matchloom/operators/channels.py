@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +14,10 @@ from pyspark.sql import types as T
 
 from matchloom.functions import text as tx
 from matchloom.functions import vocab as V
+from matchloom.functions.tokens import token_parts
 from matchloom.functions.trajectory import CRITERIA_COLUMNS, TRAJECTORY_COLUMNS
 from matchloom.operators.block_topk import block_topk, vectors
+from matchloom.session import settle
 
 # ---- dense ---------------------------------------------------------------------
 
@@ -36,16 +37,23 @@ class TokenHashEncoder:
         self.slots: dict[str, int] = {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        slots = self.slots
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            if len(slots) > self.KNOWN:
-                slots.clear()
-            for token in re.findall(V.TOKEN_PATTERN, text):
-                token = token.lower()
-                if token not in slots:
-                    slots[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
-                out[row, slots[token]] += 1.0
+        slots, dim = self.slots, self.dim
+        out = np.zeros((len(texts), dim))
+        if len(slots) >= self.KNOWN:
+            slots.clear()
+        for rows, tokens, row in token_parts(texts):
+            distinct = tokens.dictionary_encode()
+            seen = []
+            for token in distinct.dictionary.to_pylist():
+                slot = slots.get(token)
+                if slot is None:
+                    slot = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+                    if len(slots) < self.KNOWN:
+                        slots[token] = slot
+                seen.append(slot)
+            slot = np.array(seen, dtype=np.int64)[distinct.indices.to_numpy()]
+            n_rows = rows.stop - rows.start
+            out[rows] = np.bincount(row * dim + slot, minlength=n_rows * dim).reshape(n_rows, dim)
         return out
 
 
@@ -53,6 +61,12 @@ class TokenHashEncoder:
 ENCODE_ROWS = 512
 
 
+def _unit_vectors(encoder: Encoder, texts: pa.Array) -> np.ndarray:
+    raw = np.asarray(encoder([t or "" for t in texts.to_pylist()]), dtype=np.float64)
+    norms = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    return (raw / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+
+
 def encode(df: DataFrame, text: str, encoder: Encoder | None = None, out: str = "vector", keep_text: bool = True) -> DataFrame:
     """Adds an L2-normalised float vector of a text column, some texts at a time."""
     encoder = encoder or TokenHashEncoder()
@@ -63,10 +77,7 @@ def encode(df: DataFrame, text: str, encoder: Encoder | None = None, out: str =
         for whole in batches:
             for start in range(0, whole.num_rows, ENCODE_ROWS):
                 batch = whole.slice(start, ENCODE_ROWS)
-                texts = [t or "" for t in batch.column(text).to_pylist()]
-                raw = np.asarray(encoder(texts), dtype=np.float64)
-                norms = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-                unit = (raw / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+                unit = _unit_vectors(encoder, batch.column(text))
                 lists = pa.ListArray.from_arrays(
                     np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32), pa.array(unit.ravel())
                 )
@@ -102,6 +113,23 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, max_query_rows: in
     return block_topk(corpus, queries, prepare, score, k, max_query_rows)
 
 
+def text_dense_topk(corpus: DataFrame, queries: DataFrame, k: int, encoder: Encoder | None = None, max_query_rows: int | None = None) -> DataFrame:
+    """``dense_topk`` of (id, text) sides: a text is encoded where it is scored, and its vector is sent nowhere."""
+    encoder = encoder or TokenHashEncoder()
+    query_id, query_text = queries.columns
+    wanted = encode(queries, query_text, encoder, keep_text=False).select(query_id, "vector")
+
+    def prepare(block: pa.Table) -> np.ndarray:
+        return vectors(block.column(1)).T
+
+    def score(asked: np.ndarray, docs: pa.Table) -> np.ndarray:
+        parts = (docs.column(1).slice(start, ENCODE_ROWS) for start in range(0, docs.num_rows, ENCODE_ROWS))
+        scores = [_unit_vectors(encoder, texts).astype(np.float64) @ asked for texts in parts]
+        return np.concatenate(scores) if scores else np.zeros((0, asked.shape[1]))
+
+    return block_topk(corpus, wanted, prepare, score, k, max_query_rows)
+
+
 def similar_items(items: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """Nearest other items of each probe; the probe's own id is left out."""
     hits = dense_topk(items, probes, k + 1).filter(F.col("doc_id") != F.col("query_id"))
@@ -127,6 +155,24 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return rows.groupBy("tok").agg(F.count("*").alias("df"))
 
 
+def text_counts(texts: DataFrame) -> DataFrame:
+    """(tok, df, size) of a table of one text column, in one pass; the row without a token has the number of texts, and of all their tokens."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_tokens = 0
+            for _, tokens, row in token_parts(batch.column(0)):
+                n_tokens += len(tokens)
+                distinct = tokens.dictionary_encode()
+                n = max(1, len(distinct.dictionary))
+                found = np.unique(row * n + distinct.indices.to_numpy()) % n
+                df = np.bincount(found, minlength=len(distinct.dictionary))
+                yield pa.RecordBatch.from_arrays([distinct.dictionary, pa.array(df), pa.array(np.zeros(len(df), np.int64))], names=["tok", "df", "size"])
+            yield pa.RecordBatch.from_pydict({"tok": pa.array([None], pa.string()), "df": [batch.num_rows], "size": [n_tokens]})
+
+    parts = texts.mapInArrow(count, "tok string, df long, size long")
+    return parts.groupBy("tok").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
+
+
 def inverse_frequencies(frequencies: DataFrame, n_docs: int) -> DataFrame:
     """(tok, idf); an idf below zero becomes a share of the vocabulary's mean idf."""
     raw = frequencies.withColumn(
@@ -144,10 +190,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, max_query_rows: int |
     """
     doc_id, doc_text = docs.columns
     query_id, query_text = queries.columns
-    corpus = tokenised(docs, doc_id, doc_text)
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean")).first()
-    n_docs, mean_length = size["n"], size["mean"] or 1.0
-    idf = inverse_frequencies(document_frequencies(corpus), n_docs)
+    counts = settle(text_counts(docs.select(doc_text)), "frequencies")
+    size = counts.filter(F.col("tok").isNull()).first()
+    n_docs, mean_length = (size["df"], size["size"] / size["df"] or 1.0) if size else (0, 1.0)
+    idf = inverse_frequencies(counts.filter(F.col("tok").isNotNull()), n_docs)
     wanted = (
         tokenised(queries, query_id, query_text)
         .select(query_id, F.explode_outer("toks").alias("tok"))
@@ -167,31 +213,29 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, max_query_rows: int |
         table = np.zeros((len(words), block.num_rows))
         real = ~np.isnan(at.astype(float))
         table[at[real].astype(int), owner[real]] = weight[real]
-        return words, table
+        # few queries ask for a word: their weights alone are kept, word by word
+        asked, asking = np.nonzero(table)
+        return words, block.num_rows, np.searchsorted(asked, np.arange(len(words) + 1)), asking, table[asked, asking]
 
     def score(state, docs_part: pa.Table) -> np.ndarray:
-        words, table = state
-        lists = docs_part.column(1).combine_chunks()
-        n_rows = len(lists)
-        out = np.zeros((n_rows, table.shape[1]))
+        words, n_queries, ends, asking, weights = state
+        out = np.zeros((docs_part.num_rows, n_queries))
         if not len(words):
             return out
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        at = pc.index_in(lists.flatten(), value_set=words)
-        known = pc.is_valid(at)
-        row = pc.list_parent_indices(lists).filter(known).to_numpy().astype(np.int64)
-        pair, tf = np.unique(row * len(words) + at.filter(known).to_numpy(), return_counts=True)
-        row, word = pair // len(words), pair % len(words)
-        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean_length))
-        step = max(1, 500_000 // table.shape[1])
-        for start in range(0, len(row), step):
-            part = slice(start, start + step)
-            firsts = np.flatnonzero(np.diff(row[part], prepend=-1))
-            sums = np.add.reduceat(share[part, None] * table[word[part]], firsts, axis=0)
-            out[row[part][firsts]] += sums
+        for rows, tokens, row in token_parts(docs_part.column(1)):
+            lengths = np.bincount(row, minlength=rows.stop - rows.start)
+            at = pc.index_in(tokens, value_set=words)
+            known = pc.is_valid(at)
+            pair, tf = np.unique(row[known.to_numpy(zero_copy_only=False)] * len(words) + at.filter(known).to_numpy(), return_counts=True)
+            row, word = pair // len(words), pair % len(words)
+            share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean_length))
+            n = ends[word + 1] - ends[word]
+            cells = np.repeat(ends[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            places = np.repeat(row, n) * n_queries + asking[cells]
+            out[rows] = np.bincount(places, np.repeat(share, n) * weights[cells], out[rows].size).reshape(-1, n_queries)
         return out
 
-    return block_topk(corpus, wanted, prepare, score, k, max_query_rows)
+    return block_topk(docs, wanted, prepare, score, k, max_query_rows)
 
 
 # ---- trajectories -------------------------------------------------------------------

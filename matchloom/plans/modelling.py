@@ -43,7 +43,8 @@ def labelled_pairs(spark, folder) -> DataFrame:
     """Each posting with its best candidates, a drawn session and the label of the drop-off rule; settled."""
     resumes, jobs = t.resumes(spark, folder), t.jobs(spark, folder)
     pairs = fe.candidate_pairs(dense_channel(resumes, jobs, PAIR_DEPTH), bm25_channel(resumes, jobs, LEXICAL_DEPTH))
-    rows = settle(fe.pair_rows(pairs, resumes, jobs), "pairs")
+    # the pairs are read twice, for the candidates that occur and for their rows: unsettled, both channels would run twice
+    rows = settle(fe.pair_rows(settle(pairs, "hits"), resumes, jobs), "pairs")
     d = sim.Draws(42, F.lit("label"), F.col("job_id"), F.col("resume_id"))
     drawn = fe.feature_rows(rows)
     p = dc.sigmoid(dc.dropoff_logit() + d.normal(0.0, V.DROPOFF_NOISE_SD))

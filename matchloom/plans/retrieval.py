@@ -20,9 +20,7 @@ KS = [5, 10, 20]
 
 
 def dense_channel(resumes: DataFrame, jobs: DataFrame, pool: int, encoder: ch.Encoder | None = None) -> DataFrame:
-    docs = ch.encode(resumes.select("resume_id", "text"), "text", encoder, keep_text=False)
-    wanted = ch.encode(jobs.select("job_id", "description"), "description", encoder, keep_text=False)
-    return ch.dense_topk(docs, wanted, pool)
+    return ch.text_dense_topk(resumes.select("resume_id", "text"), jobs.select("job_id", "description"), pool, encoder)
 
 
 def bm25_channel(resumes: DataFrame, jobs: DataFrame, pool: int) -> DataFrame:
