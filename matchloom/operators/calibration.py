@@ -29,13 +29,13 @@ def pooled(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["_range", "low", "high", "total", "n"])
 
 
-def isotonic_blocks(df: DataFrame, score: str, label: str, ranges: int | None = None) -> DataFrame:
+def isotonic_blocks(df: DataFrame, score: str, label: str, ranges: int | None = None, count: str | None = None) -> DataFrame:
     """(low, high, total, n): scores from low to high have the mean label total / n, which rises from block to block.
 
-    Rows without a score or a label are left out; an empty table gives no blocks.
+    Rows without a score or a label are left out; an empty table gives no blocks. A row stands for as many as ``count`` says.
     """
-    rows = df.select(F.col(score).cast("double").alias("low"), F.col(label).cast("double").alias("label")).dropna()
-    counted = with_range(rows, "low", ranges).groupBy("_range", "low").agg(F.sum("label").alias("total"), F.count("*").alias("n"))
+    rows = df.select(F.col(score).cast("double").alias("low"), F.col(label).cast("double").alias("label"), (F.lit(1) if count is None else F.col(count)).alias("n")).dropna()
+    counted = with_range(rows, "low", ranges).groupBy("_range", "low").agg(F.sum(F.col("label") * F.col("n")).alias("total"), F.sum("n").cast("long").alias("n"))
     singles = counted.select("_range", "low", F.col("low").alias("high"), "total", "n")
     blocks = settle(singles.groupBy("_range").applyInPandas(pooled, BLOCK_SCHEMA), "blocks")
     while True:

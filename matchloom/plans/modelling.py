@@ -56,6 +56,7 @@ def fit_all(rows: DataFrame, numeric: list[str], categorical: list[str], label:
     """The linear and the boosted model of the train rows, and the boosted one calibrated on the val rows."""
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
     prepared = mo.preprocessor(numeric, categorical).fit(train)
+    train, val = (mo.merged(prepared, df, label) for df in (train, val))  # each fit reads equal rows once
     boosted = mo.fit_boosted(prepared, train, val, label, **boost)
     return {"linear": mo.fit_linear(prepared, train, label), "boosted": boosted, "calibrated": mo.calibrated(boosted, val, label)}
 

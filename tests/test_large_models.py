@@ -1,10 +1,12 @@
 """Fits on repeated rows, and attributions by lookups."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import attributions as at, models as mo, tree_attributions as ta
+from matchloom.operators import attributions as at, boosting as bo, models as mo, tree_attributions as ta
 
 
 def labelled(spark, n):
@@ -49,3 +51,55 @@ def test_importance_counts_a_row_by_its_weight(spark):
         spark.range(1).select(F.expr(one.format("-5.0D")).alias("attributions"), F.lit(1).alias("n")))
     assert at.global_importance(rows, F.col("n")).first()["mean_abs_shap"] == 2.0
     assert at.global_importance(rows).first()["mean_abs_shap"] == 3.0
+
+
+def grown_alike(found, due):
+    for one, other in zip(found, due, strict=True):
+        assert [n["split"]["featureIndex"] for n in one] == [n["split"]["featureIndex"] for n in other]
+        for name in ("prediction", "impurity", "gain"):
+            assert [n[name] for n in one] == pytest.approx([n[name] for n in other], abs=1e-9)
+        assert [n["split"]["leftCategoriesOrThreshold"] for n in one] == [n["split"]["leftCategoriesOrThreshold"] for n in other]
+        assert [n["impurityStats"][0] for n in one] == pytest.approx([n["impurityStats"][0] for n in other])
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_a_fit_grows_the_trees_of_the_library_in_few_jobs(spark, monkeypatch, tasks):
+    rows = labelled(spark, 3_000)
+    monkeypatch.setattr(mo, "GROW_ROWS", 10**6 if tasks == 1 else 600)
+    train, val = rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0")
+    prepared = mo.preprocessor(["a", "b"], ["kind"]).fit(train)
+    spark.sparkContext.setJobGroup(f"fit-{tasks}", "fit")
+    found = mo.fit_boosted(prepared, train, val, "label", trees=8, depth=4, step=0.2).classifier
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{tasks}"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 30 + (0 if tasks == 1 else 8 * 4)
+    due = mo._library_boosted(prepared, train, val, "label", 8, 4, 0.2, 42, 30, {}).classifier
+    assert list(found.treeWeights) == list(due.treeWeights) == [1.0] + [0.2] * 7
+    grown_alike(bo.saved_nodes(found), bo.saved_nodes(due))
+    assert mo.Trained(prepared, found).score(val).agg(F.max("p_raw")).first()[0] == pytest.approx(mo.Trained(prepared, due).score(val).agg(F.max("p_raw")).first()[0])
+
+
+def test_lost_rows_are_dealt_anew_and_go_through_the_grown_trees(spark, monkeypatch):
+    rows = labelled(spark, 2_000)
+    prepared = mo.preprocessor(["a", "b"], ["kind"]).fit(rows)
+    monkeypatch.setattr(mo, "GROW_ROWS", 600)
+    due = bo.saved_nodes(mo.fit_boosted(prepared, rows, rows, "label", trees=4, depth=3, step=0.2).classifier)
+    ask, asked = bo.Fleet.level, []
+
+    def losing(self, *args):
+        asked.append(args)
+        if len(asked) == 5:  # in the third tree
+            shutil.rmtree(self.folders.first())
+        return ask(self, *args)
+
+    monkeypatch.setattr(bo.Fleet, "level", losing)
+    grown_alike(bo.saved_nodes(mo.fit_boosted(prepared, rows, rows, "label", trees=4, depth=3, step=0.2).classifier), due)
+    assert len(asked) > 8
+
+
+def test_no_round_is_fitted_that_could_not_be_kept(spark, monkeypatch):
+    rows = labelled(spark, 600)
+    prepared = mo.preprocessor(["a", "b"], ["kind"]).fit(rows)
+    train, val = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    kept = len(mo.fit_boosted(prepared, train, val, "label", trees=60, depth=5, step=0.5, patience=3).classifier.trees)
+    assert kept == len(mo._library_boosted(prepared, train, val, "label", 20, 5, 0.5, 42, 3, {}).classifier.trees) < 20
