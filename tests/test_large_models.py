@@ -103,3 +103,23 @@ def test_no_round_is_fitted_that_could_not_be_kept(spark, monkeypatch):
     train, val = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
     kept = len(mo.fit_boosted(prepared, train, val, "label", trees=60, depth=5, step=0.5, patience=3).classifier.trees)
     assert kept == len(mo._library_boosted(prepared, train, val, "label", 20, 5, 0.5, 42, 3, {}).classifier.trees) < 20
+
+
+def test_attributions_take_few_tables_and_come_by_falling_size(spark):
+    rows = labelled(spark, 2_000)
+    prepared = mo.preprocessor(["a", "b", "u"], ["kind"]).fit(rows)
+    trained = mo.fit_boosted(prepared, rows, rows.limit(0), "label", trees=40, depth=5, step=0.1)
+    leaves = [leaf for leaf in ta.boosted_leaves(trained.classifier) if leaf.factors]
+    tables = ta.Tables(leaves, 5)
+    assert len(tables.tables) <= len(leaves) / 12  # leaves on other slots share tables too
+    x = np.array([r["features"].toArray() for r in prepared.transform(rows.limit(50)).select("features").collect()])
+    due = ta.shapley(leaves, x)
+    assert np.allclose(tables.attributions(x, 16), due, atol=1e-9)
+    names = ["a", "b", "u", "kind", "kind"]
+    got = ta.tree_attributions(trained.score(rows.filter("id < 300")), ["id", "p_raw"], trained.classifier, names).collect()
+    assert len(got) == 300
+    for r in got:
+        sizes = [abs(a["value"]) for a in r["attributions"]]
+        assert sorted(a["feature"] for a in r["attributions"]) == ["a", "b", "kind", "u"] and sizes == sorted(sizes, reverse=True)
+        logit = r["base_logit"] + sum(a["value"] for a in r["attributions"])
+        assert 1 / (1 + np.exp(-logit)) == pytest.approx(r["p_raw"], abs=1e-9)
